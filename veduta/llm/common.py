@@ -61,7 +61,7 @@ def scan_bytes(df: DataFrame) -> int:
     """The planner's size of the plan's leaves in bytes (for a Parquet scan, its files)."""
     leaves, total = df._jdf.queryExecution().optimizedPlan().collectLeaves(), 0
     for i in range(leaves.size()):
-        total += min(int(leaves.apply(i).stats().sizeInBytes().toString()), 1 << 50)
+        total += min(int(str(leaves.apply(i).stats().sizeInBytes())), 1 << 50)
     return total
 
 
