@@ -81,6 +81,22 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, lower))
 
 
+def meet(scratch: Scratch, queries: DataFrame, targets: DataFrame, body, schema: str, block: int) -> DataFrame:
+    """``body`` on the queries and targets of each (g, tb).
+
+    Targets of one (g, tb) are few; its queries may be many, so they are cut by id hash in blocks of about ``block``, each
+    with its copy of the targets: no group of queries meets in one task.
+    """
+    n = queries.groupBy("g", "tb").agg(F.ceil(F.count("*") / block).cast("long").alias("nq"))
+    n = scratch.keep(n, "blocks")
+    n = bounded(n, n.count())
+    left = queries.join(n, ["g", "tb"]).withColumn("qb", F.pmod(F.xxhash64("id"), F.col("nq"))).drop("nq")
+    right = targets.join(n, ["g", "tb"]).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1))).drop("nq")
+    # New column ids: both sides may come from the same table.
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
+    return left.groupBy("g", "tb", "qb").cogroup(right.groupBy("g", "tb", "qb")).applyInArrow(body, schema)
+
+
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step over edges (a > b)."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

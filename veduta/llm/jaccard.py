@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded, components, parts_for, table
+from .common import Scratch, bounded, components, meet, parts_for, table
 from .shingles import digest, shingle_set
 
 #: Sets compared in one task of the opening step, on either side.
 BLOCK = 256
 #: Documents' tokens combined before they are dealt out.
-COMBINE = 2048
+COMBINE = 1024
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -165,10 +165,17 @@ def _joined(run):
     return out
 
 
-def _linker(percent: int):
-    """Task body: which queries of a block link with which members, at most one link a query."""
+def _link(percent: int):
+    """Task body: the links of a block's queries with members, but for those that join what is joined already."""
 
     def link(left: pa.Table, right: pa.Table) -> pa.Table:
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
+
         ids = np.array(right.column("id").to_pylist(), np.int64)
         sizes = np.array(right.column("n").to_pylist(), np.int64)
         out_a, out_b = [], []
@@ -188,32 +195,49 @@ def _linker(percent: int):
                 at = np.repeat(a - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(total)
                 common = np.bincount(own[at], minlength=len(ids))
                 hit = np.flatnonzero((100 * common >= percent * (sizes + n - common)) & (ids != i))
-                if len(hit):
-                    out_a.append(i)
-                    out_b.append(int(ids[hit[0]]))
+                for j in ids[hit].tolist():
+                    if (x := top(i)) != (y := top(j)):
+                        up[x] = y
+                        out_a.append(i)
+                        out_b.append(j)
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     return link
 
 
-def _open(scratch: Scratch, queries: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between ``queries`` and ``members`` (g, id, n, tokens) of equal g, at most one per query and task.
+def _bound(percent: int):
+    """Task body: queries whose overlap with a group's token union allows a link with a member."""
 
-    Both sides of a group are cut in blocks of about ``BLOCK`` by id hash and each pair of blocks is one task, so neither a
-    large group nor many queries to it meet in one place.
-    """
-    nq = queries.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nq"))
-    nm = members.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nm"))
-    n = scratch.keep(nq.join(nm, "g"), "blocks")
-    n = bounded(n, n.count())
-    deal = lambda x, own, other: x.join(n, "g").select(
-        "g", F.pmod(F.xxhash64("id"), own).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("other"), "id", "n", "tokens"
-    )
-    left = deal(queries, F.col("nq"), "nm").withColumnsRenamed({"own": "qb", "other": "mb"})
-    right = deal(members, F.col("nm"), "nq").withColumnsRenamed({"own": "mb", "other": "qb"})
-    # New column ids: both sides may come from the same table.
-    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
-    return left.groupBy("g", "qb", "mb").cogroup(right.groupBy("g", "qb", "mb")).applyInArrow(_linker(percent), "a long, b long")
+    def bound(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {"id": [], "g": [], "tb": []}
+        for g, tb, low, high, u in zip(*(right.column(c).to_pylist() for c in ("g", "tb", "low", "high", "tokens")), strict=True):
+            union = np.frombuffer(u, np.uint64)
+            for i, n, t in zip(*(left.column(c).to_pylist() for c in ("id", "n", "tokens")), strict=True):
+                if percent * n > 100 * high or percent * low > 100 * n:
+                    continue
+                q = np.frombuffer(t, np.uint64)
+                at = np.minimum(np.searchsorted(union, q), len(union) - 1)
+                if 100 * int((union[at] == q).sum()) >= percent * n:
+                    out["id"].append(i)
+                    out["g"].append(g)
+                    out["tb"].append(tb)
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
+
+    return bound
+
+
+def _unions(members: DataFrame) -> DataFrame:
+    """The token-group matrix: per group block (g, tb) the sorted union of its members' tokens, and their least and largest size."""
+
+    def unite(key: tuple, rows: pa.Table) -> pa.Table:
+        tok = np.unique(np.concatenate([np.frombuffer(t, np.uint64) for t in rows.column("tokens").to_pylist()]))
+        n = rows.column("n").to_pylist()
+        return pa.table({
+            "g": pa.array([key[0].as_py()], pa.int64()), "tb": pa.array([key[1].as_py()], pa.int64()), "low": pa.array([min(n)], pa.int64()),
+            "high": pa.array([max(n)], pa.int64()), "tokens": pa.array([tok.tobytes()], pa.binary()),
+        })
+
+    return members.groupBy("g", "tb").applyInArrow(unite, "g long, tb long, low long, high long, tokens binary")
 
 
 def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -226,10 +250,11 @@ def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     2. A set of which fewer than percent % of tokens occur in any other set has no link: counted over all tokens.
     3. What is left orders its tokens from the rarest on. With need = ceil(percent * n / 100), two linked sets share one of
        their first n - need + 1 tokens. Each token of these prefixes has a leader, the set with the most common
-       tokens; sets are compared with the two leaders they meet most often, and links made groups (components).
-    4. Token-group matrix: each group stores the union of its members' tokens. A set queries the groups its prefix meets
-       in the union of member prefixes, its own left out. The overlap of the set with the group's whole union bounds its overlap with any member:
-       below need, the group stays closed. Qualifying groups are opened and compared in blocks, and their links join groups.
+       tokens; sets are compared with the two leaders they meet most often. Links make components.
+    4. Token-group matrix: groups are the components and, of sets not yet linked, those of one leader; each block
+       of up to about ``BLOCK`` members stores the union of its tokens. A set asks the groups that its prefix meets in the union
+       of their prefixes, except its own component. Its overlap with a block's union bounds that with any member: below need the block stays
+       closed. Qualifying blocks are opened and compared, and their links join components.
 
     Null, empty and blank texts: n_shingles 0, linked with nothing. Fewer than k words: the sequence is one shingle.
     Repeated rows get equal results; rows of one doc_id with different texts are one document in components. An
@@ -238,7 +263,7 @@ def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = parts_for(docs)
+    parts = parts_for(docs, 2 << 20)
     rows = scratch.keep(profile(docs, k), "profile")
     sets_of = rows.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"))
     sets_of = scratch.keep(sets_of, "classes")
@@ -268,25 +293,36 @@ def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     leader = prefix.groupBy("tok").agg(F.max_by("id", F.struct("central", "id")).alias("leader"))
     met = prefix.join(leader, "tok").where("id <> leader").groupBy("id", "leader").count()
     top = Window.partitionBy("id").orderBy(F.desc("count"), "leader")
-    met = scratch.keep(met.withColumn("at", F.row_number().over(top)).where("at <= 2").select("id", F.col("leader").alias("g")), "leaders")
-    lead = met.select("g").distinct().join(sets.withColumnRenamed("id", "g"), "g").withColumn("id", F.col("g")).select("g", "id", "n", "tokens")
-    links = scratch.keep(_open(scratch, met.join(sets, "id").select("g", "id", "n", "tokens"), lead, percent), "links")
+    met = scratch.keep(met.withColumn("at", F.row_number().over(top)).where("at <= 2").select("id", F.col("leader").alias("g"), "at"), "leaders")
+    zero = F.lit(0).cast("long").alias("tb")
+    lead = met.select("g").distinct().join(sets.withColumnRenamed("id", "g"), "g").select("g", zero, F.col("g").alias("id"), "n", "tokens")
+    links = meet(scratch, met.join(sets, "id").select("g", zero, "id", "n", "tokens"), lead, _link(percent), "a long, b long", BLOCK)
+    links = scratch.keep(links, "links")
     scratch.drop()
 
-    group = components(scratch, links)
-    ids = prefix.select("id").distinct().join(group, "id", "left").select("id", F.coalesce("root", "id").alias("g"))
-    ids = scratch.keep(ids, "groups")
-    query = prefix.join(ids, "id")
-    union = query.select("tok", "g").distinct()
-    several = union.groupBy("tok").count().where("count > 1").select("tok")
-    meet = query.join(several, "tok", "left_semi").select("id", "n", "tok", F.col("g").alias("own"))
-    asked = meet.join(union.join(several, "tok", "left_semi"), "tok").where("own > g").select("id", "n", "g").distinct()
-    asked = scratch.keep(asked, "asked")
-    whole = tok.join(ids, "id").join(asked.select("g").distinct(), "g", "left_semi").select("tok", "g").distinct()
-    overlap = asked.join(tok.select("id", "tok"), "id").join(whole, ["tok", "g"]).groupBy("id", "n", "g").count()
-    opened = scratch.keep(overlap.where(F.col("count") >= need).select("id", "g"), "opened")
-    inside = ids.join(opened.select("g").distinct(), "g", "left_semi")
-    more = _open(scratch, opened.join(sets, "id"), inside.join(sets, "id").select("g", "id", "n", "tokens"), percent)
+    # Groups: a component of two or more, or the unlinked sets of one leader. s = 1 for the latter.
+    best = met.where("at = 1").select("id", F.col("g").alias("leader"))
+    ids = prefix.select("id", "n").distinct().join(components(scratch, links), "id", "left").join(best, "id", "left")
+    ids = ids.select("id", "n", F.col("root").isNull().cast("long").alias("s"), F.coalesce("root", "leader", "id").alias("g"))
+    ids = scratch.keep(ids.withColumn("g", F.col("g") * 2 + F.col("s")), "groups")
+    query = prefix.select("id", "tok").join(ids, "id")
+    useful = query.groupBy("tok").agg(F.count("*").alias("docs"), F.min("g").alias("a"), F.max("g").alias("b"), F.max("s").alias("s"))
+    query = query.join(useful.where("docs > 1 AND (a <> b OR s = 1)").select("tok"), "tok", "left_semi")
+    union = query.select("tok", F.col("g").alias("g2"), F.col("s").alias("s2")).distinct()
+    # Each two groups are compared from one side, unlinked sets asking components; such sets also ask their own group.
+    once = "s2 < s OR (s2 = s AND (g2 < g OR (g2 = g AND s = 1)))"
+    asked = scratch.keep(query.join(union, "tok").where(once).select("id", F.col("g2").alias("g")).distinct(), "asked")
+    size = ids.join(asked.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("nt"))
+    size = scratch.keep(size, "sizes")
+    size = bounded(size, size.count())
+    members = ids.select("id", "g").join(size, "g").select("g", F.pmod(F.xxhash64("id"), F.col("nt")).alias("tb"), "id")
+    members = members.join(sets, "id").select("g", "tb", "id", "n", "tokens")
+    matrix = scratch.keep(_unions(members), "matrix")
+    asking = asked.join(size, "g").select("id", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nt") - 1)).alias("tb"))
+    bound = meet(scratch, asking.join(sets, "id").select("g", "tb", "id", "n", "tokens"), matrix, _bound(percent), "id long, g long, tb long", BLOCK)
+    opened = scratch.keep(bound, "opened")
+    inside = members.join(opened.select("g", "tb").distinct(), ["g", "tb"], "left_semi")
+    more = meet(scratch, opened.join(sets, "id").select("g", "tb", "id", "n", "tokens"), inside, _link(percent), "a long, b long", BLOCK)
     links = scratch.keep(links.unionByName(more), "all-links")
     final = components(scratch, links)
     named = sets_of.join(final, "id").select("k1", "k2", "root")
