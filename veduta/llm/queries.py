@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embeddings, jaccard, licenses, mixing, pii, secrets
+from . import decontamination, embeddings, jaccard, licenses, mixing, pii, quality, secrets
 
-QUERIES = {"op1_embeddings": embeddings.op1_embeddings, "op2_pii": pii.op2_pii, "op3_mixing": mixing.op3_mixing, "op5_decontamination": decontamination.op5_decontamination, "op8_licenses": licenses.op8_licenses, "op9_jaccard": jaccard.op9_jaccard, "op10_secrets": secrets.op10_secrets}
+QUERIES = {"op1_embeddings": embeddings.op1_embeddings, "op2_pii": pii.op2_pii, "op3_mixing": mixing.op3_mixing, "op4_quality": quality.op4_quality, "op5_decontamination": decontamination.op5_decontamination, "op8_licenses": licenses.op8_licenses, "op9_jaccard": jaccard.op9_jaccard, "op10_secrets": secrets.op10_secrets}
 SQL = {"op1_embeddings": embeddings.SQL, "op9_jaccard": jaccard.SQL, "op5_decontamination": decontamination.SQL, "op3_mixing": mixing.SQL}
