@@ -1,4 +1,60 @@
-STAGES = []
+"""A training corpus from raw documents: five stages, each on all that its predecessor kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veduta.llm import decontamination, jaccard, mixing, pii, quality
+from veduta.llm.common import Scratch, table
+
+
+def _columns(out: DataFrame, docs: DataFrame) -> DataFrame:
+    return out.select(*docs.columns)
+
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    return _columns(quality.resample(docs, table(spark, sf_dir, "labels")).where("kept"), docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, of smallest doc_id, of each group linked by five-word shingle Jaccard similarity of 0.8 or more."""
+    return _columns(jaccard.keep_one(docs, 5, 80), docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return _columns(docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti"), docs)
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal values replaced by pseudonyms; n_chars follows the text."""
+    return _columns(pii.pseudonymise(docs).withColumn("n_chars", F.char_length("text").cast("long")), docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words taken of each document by the mix: doc_id, source, size, source_size, target, taken."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality", filter_quality),
+    ("near_copies", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("personal_data", hide_personal_data),
+    ("mixing", mix_sources),
+]
+
+#: The classifier's hashed models have no SQL form; tests hold the stages against brute force instead.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read back as the next one's input."""
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    return docs
