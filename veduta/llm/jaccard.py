@@ -23,11 +23,18 @@ def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = COMBINE) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to at most ``rows`` rows, which bounds what a worker holds at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def profile(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles and a 128-bit digest (k1, k2) of the shingle set, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches, 512):
             sets = [shingle_set(t, k) for t in _texts(b)]
             keys = [digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -50,43 +57,42 @@ def shared_tokens(docs: DataFrame, k: int, parts: int) -> DataFrame:
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, COMBINE):
-                sets, keys, seen = [], [], set()
-                for t in _texts(whole.slice(at, COMBINE)):
-                    s = shingle_set(t, k)
-                    if len(s) and (key := digest(s)[0]) not in seen:
-                        seen.add(key)
-                        keys.append(key)
-                        sets.append(np.unique(s & _LOW48))
-                if not sets:
-                    continue
-                tok = np.concatenate(sets)
-                own = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
-                key_of = np.array(keys, np.int64)
-                order = np.argsort(tok, kind="stable")
-                tok, own = tok[order], own[order]
-                # Two owners show that a token is shared; a batch's further owners are counted here and now.
-                first = np.r_[True, tok[1:] != tok[:-1]]
-                nth = np.arange(len(tok)) - np.flatnonzero(first)[np.cumsum(first) - 1]
-                told = np.bincount(own[nth >= 2], minlength=len(sets))
-                tok, own = tok[nth < 2], own[nth < 2]
-                rows = {"part": [int(tok[0]) % parts], "tok": [b""], "own": [told[told > 0].tobytes()], "keys": [key_of[told > 0].tobytes()]}
-                part = (tok % np.uint64(parts)).astype(np.int64)
-                order = np.lexsort((own, part))
-                tok, own, part = tok[order], own[order], part[order]
-                cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-                ends = np.r_[cut[1:], len(part)]
-                for a, b in zip(cut, ends, strict=True):
-                    owners, local = np.unique(own[a:b], return_inverse=True)
-                    six = tok[a:b].view(np.uint8).reshape(-1, 8)[:, :6]
-                    rows["part"].append(int(part[a]))
-                    rows["tok"].append(np.ascontiguousarray(six).tobytes())
-                    rows["own"].append(local.astype(np.uint16).tobytes())
-                    rows["keys"].append(key_of[owners].tobytes())
-                yield pa.RecordBatch.from_pydict(
-                    rows, schema=pa.schema([("part", pa.int64()), ("tok", pa.binary()), ("own", pa.binary()), ("keys", pa.binary())])
-                )
+        for b in _slices(batches):
+            sets, keys, seen = [], [], set()
+            for t in _texts(b):
+                s = shingle_set(t, k)
+                if len(s) and (key := digest(s)[0]) not in seen:
+                    seen.add(key)
+                    keys.append(key)
+                    sets.append(np.unique(s & _LOW48))
+            if not sets:
+                continue
+            tok = np.concatenate(sets)
+            own = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
+            key_of = np.array(keys, np.int64)
+            order = np.argsort(tok, kind="stable")
+            tok, own = tok[order], own[order]
+            # Two owners show that a token is shared; a batch's further owners are counted here and now.
+            first = np.r_[True, tok[1:] != tok[:-1]]
+            nth = np.arange(len(tok)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+            told = np.bincount(own[nth >= 2], minlength=len(sets))
+            tok, own = tok[nth < 2], own[nth < 2]
+            rows = {"part": [int(tok[0]) % parts], "tok": [b""], "own": [told[told > 0].tobytes()], "keys": [key_of[told > 0].tobytes()]}
+            part = (tok % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((own, part))
+            tok, own, part = tok[order], own[order], part[order]
+            cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            ends = np.r_[cut[1:], len(part)]
+            for a, b in zip(cut, ends, strict=True):
+                owners, local = np.unique(own[a:b], return_inverse=True)
+                six = tok[a:b].view(np.uint8).reshape(-1, 8)[:, :6]
+                rows["part"].append(int(part[a]))
+                rows["tok"].append(np.ascontiguousarray(six).tobytes())
+                rows["own"].append(local.astype(np.uint16).tobytes())
+                rows["keys"].append(key_of[owners].tobytes())
+            yield pa.RecordBatch.from_pydict(
+                rows, schema=pa.schema([("part", pa.int64()), ("tok", pa.binary()), ("own", pa.binary()), ("keys", pa.binary())])
+            )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toks, keys = [], []
@@ -121,7 +127,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     """id, n, k1, k2 and the set itself (sorted 64-bit tokens as bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches, 512):
             sets = [shingle_set(t, k) for t in _texts(b)]
             keys = [digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays(

@@ -45,12 +45,14 @@ def count_ngrams(docs: DataFrame, size: int = BUCKETS) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, size), np.int64)
-        for b in batches:
-            for t, is_target in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("target").to_pylist(), strict=True):
-                n = np.bincount(buckets(t, size), minlength=size)
-                total[0] += n
-                if is_target:
-                    total[1] += n
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                for t, is_target in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("target").to_pylist(), strict=True):
+                    n = np.bincount(buckets(t, size), minlength=size)
+                    total[0] += n
+                    if is_target:
+                        total[1] += n
         some = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[0][some]), pa.array(total[1][some])], names=["bucket", "n", "m"])
 
@@ -74,9 +76,10 @@ def weigher(ratios: np.ndarray):
     @F.arrow_udf("double")
     def weight(text: pa.Array) -> pa.Array:
         out = []
-        for t in text.cast(pa.binary()).to_pylist():
-            b = buckets(t, size)
-            out.append(float(ratios[b].mean() * min(len(b), LENGTH)) if len(b) else None)
+        for at in range(0, len(text), 1024):
+            for t in text.slice(at, 1024).cast(pa.binary()).to_pylist():
+                b = buckets(t, size)
+                out.append(float(ratios[b].mean() * min(len(b), LENGTH)) if len(b) else None)
         return pa.array(out, pa.float64())
 
     return weight
