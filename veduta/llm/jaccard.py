@@ -94,33 +94,60 @@ def shared_tokens(docs: DataFrame, k: int, parts: int) -> DataFrame:
                 rows, schema=pa.schema([("part", pa.int64()), ("tok", pa.binary()), ("own", pa.binary()), ("keys", pa.binary())])
             )
 
+    packed = pa.schema([("part", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toks, keys = [], []
-        out = lambda k, n: pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64())], names=["k1", "shared"])
+        toks, owners, keys, n = [], [], [], []
         for b in batches:
             for tok, own, key in zip(b.column("tok").to_pylist(), b.column("own").to_pylist(), b.column("keys").to_pylist(), strict=True):
                 if not tok:
-                    yield out(np.frombuffer(key, np.int64), np.frombuffer(own, np.int64))
+                    keys.append(np.frombuffer(key, np.int64))
+                    n.append(np.frombuffer(own, np.int64))
                     continue
                 eight = np.zeros((len(tok) // 6, 8), np.uint8)
                 eight[:, :6] = np.frombuffer(tok, np.uint8).reshape(-1, 6)
                 toks.append(eight.view(np.uint64).ravel())
-                keys.append(np.frombuffer(key, np.int64)[np.frombuffer(own, np.uint16)])
-        if not toks:
+                owners.append(np.frombuffer(key, np.int64)[np.frombuffer(own, np.uint16)])
+        if toks:
+            tok, own = np.concatenate(toks), np.concatenate(owners)
+            order = np.lexsort((own, tok))
+            tok, own = tok[order], own[order]
+            fresh = np.r_[True, (tok[1:] != tok[:-1]) | (own[1:] != own[:-1])]
+            tok, own = tok[fresh], own[fresh]
+            same = tok[1:] == tok[:-1]
+            own = own[np.r_[same, False] | np.r_[False, same]]
+            keys.append(own)
+            n.append(np.ones(len(own), np.int64))
+        if not keys:
             return
-        tok, key = np.concatenate(toks), np.concatenate(keys)
-        order = np.lexsort((key, tok))
-        tok, key = tok[order], key[order]
-        fresh = np.r_[True, (tok[1:] != tok[:-1]) | (key[1:] != key[:-1])]
-        tok, key = tok[fresh], key[fresh]
-        same = tok[1:] == tok[:-1]
-        shared = np.r_[same, False] | np.r_[False, same]
-        ids, n = np.unique(key[shared], return_counts=True)
-        yield out(ids, n)
+        # What this part knows of each set goes to that set's own part, packed, one row for each part it knows of.
+        ids, n = _summed(np.concatenate(keys), np.concatenate(n))
+        part = ids % parts
+        order = np.argsort(part, kind="stable")
+        ids, n, part = ids[order], n[order], part[order]
+        cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+        ends = np.r_[cut[1:], len(part)] if len(part) else []
+        rows = {"part": [int(part[a]) for a in cut], "keys": [ids[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], "n": [n[a:b].tobytes() for a, b in zip(cut, ends, strict=True)]}
+        yield pa.RecordBatch.from_pydict(rows, schema=packed)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = [], []
+        for b in batches:
+            keys += [np.frombuffer(x, np.int64) for x in b.column("keys").to_pylist()]
+            n += [np.frombuffer(x, np.int64) for x in b.column("n").to_pylist()]
+        if keys:
+            ids, n = _summed(np.concatenate(keys), np.concatenate(n))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["k1", "shared"])
 
     dealt = docs.mapInArrow(deal, "part long, tok binary, own binary, keys binary")
-    # One part a task: the part number itself is the partition.
-    return dealt.repartitionById(parts, F.col("part").cast("int")).mapInArrow(count, "k1 long, shared long").groupBy("k1").agg(F.sum("shared").alias("shared"))
+    # One part a task: the part number itself is the partition, of tokens first and of sets next.
+    known = dealt.repartitionById(parts, F.col("part").cast("int")).mapInArrow(count, "part long, keys binary, n binary")
+    return known.repartitionById(parts, F.col("part").cast("int")).mapInArrow(total, "k1 long, shared long")
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    ids, at = np.unique(keys, return_inverse=True)
+    return ids, np.bincount(at, weights=n, minlength=len(ids)).astype(np.int64)
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
