@@ -23,10 +23,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Rows of an Arrow batch: documents are wide, and a batch is held on both sides of the Python boundary.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch to ``BATCH_ROWS`` rows, unless it is lower already; Python workers then hold little."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Scratch:
     """Tables written to the shared folder. They cut lineage and outlive executors."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/veduta/{name}-{uuid.uuid4().hex}"
         self._n = 0

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -411,6 +411,7 @@ def extract(pages: DataFrame, weights: list[float] | None = None) -> DataFrame:
     empty table gives no rows.
     """
     w = weights or train()
+    small_batches(pages.sparkSession)
 
     @F.arrow_udf("string")
     def text(source: pa.Array) -> pa.Array:

@@ -15,7 +15,7 @@ from .shingles import digest, shingle_set
 #: Sets compared in one task of the opening step, on either side.
 BLOCK = 256
 #: Documents' tokens combined before they are dealt out.
-COMBINE = 1024
+COMBINE = 500
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
