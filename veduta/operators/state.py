@@ -15,13 +15,13 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", at.alias("at"))
 
 
-def suppressed(log: DataFrame, key: str, ttl: Column, records: Column = F.lit(True)) -> DataFrame:
+def suppressed(log: DataFrame, key: str, ttl: Column, records: Column | None = None) -> DataFrame:
     """Rows of (key, at, event_id) with ``fetched``: false while an earlier fetched, recorded row's ttl lasts.
 
     What is suppressed does not extend the ttl, so this is no window function but a fold in time order over each key. The
     fold's state is one number; rows of a key come as one array, so a key's log must fit a task.
     """
-    rows = log.withColumn("_ttl", ttl.cast("long")).withColumn("_rec", records)
+    rows = log.withColumn("_ttl", ttl.cast("long")).withColumn("_rec", F.lit(True) if records is None else records)
     one = F.array_sort(F.collect_list(F.struct("at", "event_id", "_ttl", "_rec")))
     start = F.struct(F.lit(-(1 << 62)).cast("long").alias("until"), F.array().cast("array<struct<event_id:bigint,fetched:boolean>>").alias("out"))
 
