@@ -1,0 +1,311 @@
+import html as entities
+import random
+import re
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from veduta.llm import common, decontamination, embeddings, html, jaccard, licenses, mixing, pii, quality, queries, secrets, warc
+
+SF = "/root/testdata/sf0.001"
+DOC = "doc_id long, text string, lang string, source string, n_chars long, size long, target string, id long, kept string, tok string"
+
+
+def docs(spark, texts, sources=None):
+    rows = [(i, t, "en", (sources or ["a"] * len(texts))[i], 0, 7, "x", 9, "y", "z") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOC)
+
+
+def words(r, n):
+    return " ".join("".join(r.choices("abcdefgh", k=3)) for _ in range(n))
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, SF), con.sql(queries.SQL[name])
+    at = [want.columns.index(c) for c in got.columns]
+    show = lambda rows: sorted(repr([round(v, 6) if isinstance(v, float) else v for v in r]) for r in rows)
+    assert show(tuple(r) for r in got.collect()) == show([r[i] for i in at] for r in want.fetchall())
+
+
+def test_empty_tables(spark):
+    none, labels = docs(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([], "item_id long, text string")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    for out in (
+        mixing.mix(none), pii.pseudonymise(none), quality.resample(none, labels), jaccard.classes(none, 4, 85), decontamination.contamination(none, items),
+        licenses.scan(none), secrets.scan(none, [0.0]), html.extract(pages, [0.0] * html.SIZE), warc.archive(pages), embeddings.near_duplicates(vectors),
+    ):
+        assert out.count() == 0
+
+
+# -- embeddings
+def test_embeddings_against_brute_force(spark):
+    r = np.random.default_rng(1)
+    base = r.normal(size=(40, 16))
+    x = [*base, *(base[i % 5] + r.normal(size=16) * 0.18 for i in range(60)), *[base[0]] * 5]
+    rows = [(i, [float(v) for v in e]) for i, e in enumerate(x)]
+    rows += [(1000, None), (1001, []), (1002, [0.0] * 16), (1003, [float("nan")] * 16), (1004, [None] + [1.0] * 15), (1005, [1.0, 2.0]), (1006, [float("inf")] * 16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("n_links", F.lit(1))
+    got = {q.vec_id: (q.n_links, q.component_id, q.kept) for q in embeddings.near_duplicates(df).collect()}
+    u = np.array(x) / np.linalg.norm(x, axis=1, keepdims=True)
+    link = (u @ u.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    comp = np.arange(len(x))
+    for _ in range(len(x)):
+        comp = np.array([min([comp[i], *comp[link[i]]]) for i in range(len(x))])
+    for i in range(len(x)):
+        assert got[i] == (int(link[i].sum()), int(comp[i]), int(comp[i]) == i)
+    assert all(got[i] == (0, i, True) for i in range(1000, 1007)) and len(got) == len(rows)
+
+
+def test_cells_miss_no_link(spark):
+    """With cells on random data, visitors find every link that brute force finds."""
+    r = np.random.default_rng(2)
+    x = np.concatenate([r.normal(size=(300, 4)), np.full((2, 4), 1.0)])
+    old = embeddings.PER_CELL
+    embeddings.PER_CELL = 30
+    try:
+        df = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<double>")
+        got = {q.vec_id: q.n_links for q in embeddings.near_duplicates(df).collect()}
+    finally:
+        embeddings.PER_CELL = old
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert [got[i] for i in range(len(x))] == ((u @ u.T >= 0.95).sum(1) - 1).tolist()
+
+
+# -- Jaccard
+def brute_classes(texts, k, percent):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    comp = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = comp[i], comp[j]
+                comp = [min(a, b) if c in (a, b) else c for c in comp]
+    return {i: (len(sets[i]), comp[i]) for i in range(len(sets))}
+
+
+@pytest.mark.parametrize("k, percent", [(4, 85), (5, 80)])
+def test_jaccard_against_brute_force(spark, k, percent):
+    r = random.Random(3)
+    base = [words(r, 60).split() for _ in range(12)]
+    texts = [None, "", " \n", "One two", "one  TWO", "one two three four", "é É"]
+    for i in range(160):
+        w = base[0 if i % 2 else r.randrange(12)][:]
+        for _ in range(r.randrange(5)):
+            w[r.randrange(60)] = words(r, 1)
+        texts.append(" ".join(w))
+    texts += [texts[20]] * 30
+    got = {q.doc_id: (q.n_shingles, q.component_id) for q in jaccard.classes(docs(spark, texts), k, percent).collect()}
+    assert got == brute_classes(texts, k, percent)
+    kept = {q.doc_id for q in jaccard.keep_one(docs(spark, texts), k, percent).collect()}
+    assert kept == {i for i, (_, c) in got.items() if i == c}
+
+
+def test_components(spark):
+    r = random.Random(4)
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {q.id: q.root for q in common.components(common.Scratch(spark, "t"), df).collect()}
+    comp = {x: x for e in edges for x in e}
+    for _ in comp:
+        for a, b in edges:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    assert all(got.get(x, x) == c for x, c in comp.items())
+
+
+# -- decontamination
+def test_near_matches_and_edges(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    items = spark.createDataFrame([(1, item), (2, "Short one"), (3, None), (4, ""), (5, "short ONE!")], "item_id long, text string")
+    texts = [None, "", "...", f"x {item.upper()} y", item.replace("eta theta", "eta QQ theta"), "a short, one here", item.replace("beta", "wrong")]
+    got = {q.doc_id: (q.n_words, q.n_hit, q.n_items, q.contaminated) for q in decontamination.contamination(docs(spark, texts), items).collect()}
+    assert got == {0: (0, 0, 0, False), 1: (0, 0, 0, False), 2: (0, 0, 0, False), 3: (14, 12, 1, True), 4: (13, 0, 0, False), 5: (4, 2, 2, True), 6: (12, 10, 1, True)}
+    scratch = common.Scratch(spark, "near")
+    found, vocabulary, n = decontamination.test_terms(scratch, items, 10)
+    near = [item.replace("gamma", "wrong").replace("kappa", "off").replace("delta", "no")]
+    index = decontamination.build_index(scratch, docs(spark, near).select("doc_id", "text"), vocabulary, n)
+    kinds = {q.kind for q in decontamination.search(index, found, vocabulary, near=7).collect()}
+    assert kinds == {"near"}
+
+
+# -- pseudonyms
+def test_pseudonyms(spark):
+    texts = [None, "", "no data", "call +1 (017) 555-7713 or +1 (017) 555-7713", "card 4111111111111111", "mail a.b@example.com", "233.254.104.120", "2024-02-29 and 2023-02-30", "DE89 3704 0044 0532 0130 00", "9807915762804490"]
+    got = {q.doc_id: q for q in pii.pseudonymise(docs(spark, texts)).collect()}
+    assert [got[i].n_pii for i in range(10)] == [0, 0, 0, 2, 1, 1, 1, 1, 1, 1]
+    assert got[0].text is None and got[1].text == "" and got[2].text == "no data" and "2023-02-30" in got[7].text
+    a, b = re.findall(r"\+\d \(\d{3}\) \d{3}-\d{4}", got[3].text)
+    assert a == b and a not in texts[3]
+    luhn = lambda s: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(s))) % 10
+    for i in (4, 9):
+        old, new = (re.search(r"\d{16}", x)[0] for x in (texts[i], got[i].text))
+        assert old != new and luhn(old) == luhn(new)
+    iban = got[8].text.replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+@pytest.mark.parametrize("width", [1, 2, 3])
+def test_digit_permutation_is_one_to_one(spark, width):
+    n = 10**width
+    df = spark.range(n).select(pii.permute_digits(F.lpad(F.col("id").cast("string"), width, "0"), "t").alias("p"))
+    assert {r.p for r in df.collect()} == {f"{i:0{width}d}" for i in range(n)}
+
+
+def test_date_permutation_is_one_to_one(spark):
+    days = spark.range(73049).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
+    assert days.select(pii._date(F.col("d"), "k").alias("p")).distinct().count() == 73049
+
+
+# -- mixing
+def test_mix_targets(spark):
+    r = random.Random(5)
+    texts = [words(r, r.randrange(40)) for _ in range(900)] + [None, ""]
+    sources = [r.choice(["a"] * 6 + ["b", "c", "d", None]) for _ in texts]
+    got = mixing.mix(docs(spark, texts, sources)).collect()
+    taken, target, most = Counter(), {}, {}
+    for q in got:
+        taken[q.source] += q.taken
+        target[q.source], most[q.source] = q.target, max(most.get(q.source, 0), q.size)
+        assert q.taken % max(q.size, 1) == 0 and q.taken <= 3 * q.size and q.target <= 3 * q.source_size + 1e-6
+    assert all(abs(taken[s] - target[s]) <= most[s] for s in target)
+    assert sum(target.values()) == pytest.approx(sum(q.size for q in got))
+    again = mixing.mix(docs(spark, texts, sources).repartition(3)).collect()
+    assert {(q.doc_id, q.taken) for q in got} == {(q.doc_id, q.taken) for q in again}
+
+
+# -- quality
+def test_quality_held_out(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    seen = labels.where("doc_id % 4 <> 0")
+    out = quality.resample(d, seen).join(labels.where("doc_id % 4 = 0"), "doc_id").select("kept", "quality").collect()
+    assert sum(q.kept == (q.quality == 1) for q in out) >= 0.97 * len(out)
+    assert out and sum(q.quality == 1 and not q.kept for q in out) <= 0.02 * len(out)
+
+
+def test_quality_against_brute_force(spark):
+    r = random.Random(6)
+    texts = [words(r, 20) for _ in range(40)] + [" ".join(w + "$$$" for w in words(r, 20).split()) for _ in range(20)] + [None, "", "  "]
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(0, 60, 2)] + [(1, None), (None, 1)], "doc_id long, quality int")
+    got = {q.doc_id: q for q in quality.resample(docs(spark, texts), labels).collect()}
+    counts = np.zeros((2, quality.BUCKETS))
+    for i, t in enumerate(texts):
+        n = np.bincount(quality.buckets((t or "").encode()), minlength=quality.BUCKETS)
+        counts[0] += n
+        counts[1] += n * (i % 2 == 0 and i < 40)
+    ratios = quality.log_ratios(counts)
+    for i, t in enumerate(texts[:60]):
+        b = quality.buckets(t.encode())
+        assert got[i].log_weight == pytest.approx(ratios[b].mean() * min(len(b), quality.LENGTH)) and got[i].kept == (i < 40)
+    assert not any(got[i].kept for i in (60, 61, 62)) and got[60].log_weight is None
+
+
+# -- WARC
+def test_warc_round_trip(spark):
+    long, r = "é" * 600, random.Random(7)
+    rows = [(i, f"http://h{i % 5}.example.com/p{i % 9}\r\nx", long if i % 3 == 0 else words(r, i)) for i in range(60)] + [(60, None, None), (None, "http://x.org", long), (61, "http://x.org", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("ts", F.lit("clash"))
+    got = warc.archive(df.repartition(7), archive_bytes=600, fan_in=3).collect()
+    assert len(got) == len(rows) and [warc._rank(tuple(q)) for q in got] == sorted(warc._rank(tuple(q)) for q in got)
+    by = {q.page_id: q for q in got}
+    for i, _, h in rows[:60]:
+        assert by[i].payload_bytes == len(h.encode()) and by[i].record_type == ("revisit" if i % 3 == 0 and i != 57 else "response")
+        assert by[i].refers_to == (57 if by[i].record_type == "revisit" else None)
+    assert by[60].payload_bytes == 0 and by[60].url is None
+
+
+def test_loser_tree():
+    r = random.Random(8)
+    for k in (1, 2, 3, 7, 16):
+        runs = [sorted(r.randrange(50) for _ in range(r.randrange(9))) for _ in range(k)]
+        assert list(warc.LoserTree([iter(x) for x in runs], rank=lambda x: x)) == sorted(x for y in runs for x in y)
+
+
+# -- HTML
+def test_html_held_out_and_cases(spark):
+    w = html.train()
+    total = wrong = 0
+    for source in html.labelled_pages(60, 99):
+        page = html.Page(source, labelled=True)
+        prob = html.marginals(page, w)[0]
+        for i in {n for n, _ in page.pieces if n >= 0}:
+            total, wrong = total + 1, wrong + ((prob[i] >= 0.5) != bool(page.labels[i]))
+    assert wrong <= 0.02 * total
+    page = "<nav><a href=/>Home</a></nav><article><h1>A &amp; B</h1><p>One  two,\nthree <b>fo</b>ur.<p>Five six seven eight nine ten.<div class='comments'><p>nice post, really.</p></div></article><footer>Legal</footer>"
+    assert html.main_text(page, w) == "A & B One two, three four. Five six seven eight nine ten."
+    rows = [(1, None), (2, ""), (3, "<p"), (4, "<<<>>><!-- x"), (5, "<script>a<b"), (6, page)]
+    df = spark.createDataFrame(rows, "page_id long, html string").withColumn("text", F.lit(1))
+    got = {q.page_id: (q.text, q.n_chars) for q in html.extract(df, w).collect()}
+    assert got[1] == got[2] == ("", 0) and got[6][1] == len(got[6][0]) and len(got) == 6
+
+
+def test_messages_equal_enumeration():
+    """Marginals by messages are those of the whole distribution."""
+    page = html.Page("<div class=content><p>Some text, here.</p><ul class=menu><li>x</li></ul></div>")
+    r = random.Random(9)
+    w = [r.uniform(-1, 1) for _ in range(html.SIZE)]
+    n, base = len(page.parents), len(html.FEATURES)
+    weight, mass = 0.0, [0.0] * n
+    for bits in range(1 << n):
+        y = [bits >> i & 1 for i in range(n)]
+        s = sum(sum(w[k] for k in page.features[i]) for i in range(n) if y[i])
+        s += sum(w[base + 2 * page.kinds[i] + 1 - y[i]] for i in range(1, n) if y[i] == y[page.parents[i]])
+        e = np.exp(s)
+        weight += e
+        for i in range(n):
+            mass[i] += e * y[i]
+    assert html.marginals(page, w)[0] == pytest.approx([m / weight for m in mass])
+
+
+def test_html_keeps_whole_articles(spark):
+    w = html.train()
+    for q in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        inner = re.search("<article>(.*?)</article>", q.html, re.S)[1]
+        want = " ".join(entities.unescape(re.sub("<[^>]*>", "", re.sub("</?(?:p|h1|br)[^>]*>", " ", inner))).split())
+        assert html.main_text(q.html, w) == want
+
+
+# -- licenses and secrets
+def test_licenses_against_brute_force(spark):
+    texts = [None, "", "x", "Released under the MIT License.", "prose\nLicensed under the Apache License,\nVersion 2.0.\n\nmore prose here", "released UNDER the mit licence", "All rights reserved. And more words follow here."]
+    texts += [t for _, t in licenses.TEMPLATES] + [t.replace(" the ", " a ", 1) for _, t in licenses.TEMPLATES]
+    got = {(q.doc_id, q.license) for q in licenses.scan(docs(spark, texts)).collect()}
+    known = [(t["license"], Counter(g.rsplit(" ", 1)[0] for g in t["grams"])) for t in licenses.template_table()]
+    want = set()
+    for i, t in enumerate(texts):
+        for para in re.split(r"\n[\t\x0b-\r ]*\n", t or ""):
+            for unit in {para, *para.split("\n"), *(y for x in para.split("\n") for y in re.split(r"(?<=[.:;])[\t\x0b-\r ]+", x))}:
+                w = licenses._words(unit)
+                c, m = Counter(" ".join(p) for p in zip(w, w[1:], strict=False)), len(w) - 1
+                if m > 0:
+                    score, at = min((-2 * sum((c & g).values()) / (m + sum(g.values())), j) for j, (_, g) in enumerate(known))
+                    if -score >= 0.8:
+                        want.add((i, known[at][0]))
+    assert got == want
+
+
+def test_secrets(spark):
+    forest = secrets.train(spark)
+    held = spark.createDataFrame(secrets.labelled_findings(600, 123), "value string, before string, after string, y int")
+    right = secrets.score(secrets.features(held), forest).select(((F.col("score") >= 0.5).cast("int") == F.col("y")).cast("int").alias("ok")).agg(F.avg("ok")).first()[0]
+    assert right >= 0.95
+    key = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"
+    texts = [None, "", "plain", f'x token = "{key}" y', f"commit {key} done", "id 9807915762804490", f'TOKEN = "{key.upper()}"!! AND', 'api_key="your_api_key_here"']
+    found = {q.doc_id for q in secrets.scan(docs(spark, texts), forest).where("secret").collect()}
+    assert found == {3, 6}
+
+
+def test_native_operators_run_no_python(spark):
+    for name in ("op2_pii", "op8_licenses", "op10_secrets", "op5_decontamination"):
+        plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

@@ -70,16 +70,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scan_bytes(df: DataFrame) -> int:
-    """The planner's size of the plan's leaves in bytes (for a Parquet scan, its files)."""
+    """The planner's size of the plan's leaves in bytes (for a Parquet scan, its files); leaves of unknown size count as 0."""
     leaves, total = df._jdf.queryExecution().optimizedPlan().collectLeaves(), 0
     for i in range(leaves.size()):
-        total += min(int(str(leaves.apply(i).stats().sizeInBytes())), 1 << 50)
+        size = int(str(leaves.apply(i).stats().sizeInBytes()))
+        total += size if size < 1 << 60 else 0
     return total
 
 
-def parts_for(df: DataFrame, bytes_each: int = 8 << 20) -> int:
-    """Partitions for a shuffle of ``df``: the session's number, or more for a larger input."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(scan_bytes(df) / bytes_each))
+def parts_for(df: DataFrame, small: int = 2 << 20, large: int = 64 << 20, many: int = 4096) -> int:
+    """Partitions for a shuffle of ``df``: one per ``small`` bytes up to ``many``, then one per ``large``; never fewer than the session's."""
+    size = scan_bytes(df)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(math.ceil(size / small), many), math.ceil(size / large))
 
 
 def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

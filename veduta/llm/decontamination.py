@@ -79,6 +79,8 @@ def search(index: Index, words: DataFrame, vocabulary: DataFrame, near: int | No
     size = terms.count()
     starts = terms.where("off <= n - w").select("item", F.col("off").alias("start"), "w")
     inside = starts.join(terms.drop("w"), "item").where("off >= start AND off < start + w")
+    if near is not None:
+        inside = inside.where("cf > 0")  # a window may lack words that the corpus lacks; else such a window cannot occur
     rank = Window.partitionBy("item", "start").orderBy("cf", "off")
     ranked = inside.withColumn("rank", F.row_number().over(rank)).where("rank <= 2")
     pair = ranked.groupBy("item", "start").agg(
