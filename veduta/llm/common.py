@@ -78,10 +78,10 @@ def scan_bytes(df: DataFrame) -> int:
     return total
 
 
-def parts_for(df: DataFrame, small: int = 2 << 20, large: int = 64 << 20, many: int = 4096) -> int:
-    """Partitions for a shuffle of ``df``: one per ``small`` bytes up to ``many``, then one per ``large``; never fewer than the session's."""
+def parts_for(df: DataFrame, small: int = 2 << 20, large: int = 64 << 20, many: int = 4096, least: int = 1) -> int:
+    """Partitions for a shuffle of ``df``: one per ``small`` bytes up to ``many``, then one per ``large``; never fewer than ``least``."""
     size = scan_bytes(df)
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(math.ceil(size / small), many), math.ceil(size / large))
+    return max(least, min(math.ceil(size / small), many), math.ceil(size / large))
 
 
 def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

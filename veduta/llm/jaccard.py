@@ -16,6 +16,8 @@ from .shingles import digest, shingle_set
 BLOCK = 256
 #: Documents' tokens combined before they are dealt out.
 COMBINE = 500
+#: Input bytes whose tokens a task counts, range by range, and the sets it adds up before it gives them out.
+TASK_BYTES, HELD = 128 << 20, 500_000
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -48,13 +50,18 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long")
 
 
-def shared_tokens(docs: DataFrame, k: int, parts: int) -> DataFrame:
+def shared_tokens(docs: DataFrame, k: int) -> DataFrame:
     """(k1, shared): how many tokens of each distinct set occur in another distinct set too, sets with none left out.
 
-    Tokens are cut to 48 bits (a clash can only raise ``shared``) and dealt to ``parts`` by value, packed as bytes: a batch's
-    copies of a token are combined first, so a token of a third of all documents is one entry per batch. Each
-    part is sorted and counted in one task; parts follow the input's size, and tokens are near-uniform over them.
+    Tokens are cut to 48 bits, and copies of a set may be counted apart (both only raise ``shared``). They are dealt by value to tasks and, in a task, to ranges, packed as
+    bytes: a batch's copies of a token are combined first, so a token of a third of all documents is one entry per batch. A task
+    counts its ranges one after another, holding one at a time, and adds up what they say of a set, so a set gives at most
+    one row a task (more where a task meets over ``HELD`` sets). Ranges follow the input's size, and tokens are near-uniform over them.
     """
+    # Every core has a task; past that, tasks follow the input by whole ``TASK_BYTES``, so sets are told of in few of them.
+    tasks = parts_for(docs, small=TASK_BYTES, large=TASK_BYTES, least=docs.sparkSession.sparkContext.defaultParallelism)
+    # Leaves of unknown size count nothing: the session's shuffle partitions are the least number of ranges.
+    ranges = -(-parts_for(docs, least=int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))) // tasks)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
@@ -77,39 +84,34 @@ def shared_tokens(docs: DataFrame, k: int, parts: int) -> DataFrame:
             nth = np.arange(len(tok)) - np.flatnonzero(first)[np.cumsum(first) - 1]
             told = np.bincount(own[nth >= 2], minlength=len(sets))
             tok, own = tok[nth < 2], own[nth < 2]
-            rows = {"part": [int(tok[0]) % parts], "tok": [b""], "own": [told[told > 0].tobytes()], "keys": [key_of[told > 0].tobytes()]}
-            part = (tok % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((own, part))
-            tok, own, part = tok[order], own[order], part[order]
-            cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            ends = np.r_[cut[1:], len(part)]
+            rows = {"part": [int(tok[0]) % tasks], "rng": [0], "tok": [b""], "own": [told[told > 0].tobytes()], "keys": [key_of[told > 0].tobytes()]}
+            place = (tok % np.uint64(tasks * ranges)).astype(np.int64)
+            order = np.lexsort((own, place))
+            tok, own, place = tok[order], own[order], place[order]
+            cut = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+            ends = np.r_[cut[1:], len(place)]
             for a, b in zip(cut, ends, strict=True):
                 owners, local = np.unique(own[a:b], return_inverse=True)
                 six = tok[a:b].view(np.uint8).reshape(-1, 8)[:, :6]
-                rows["part"].append(int(part[a]))
+                rows["part"].append(int(place[a]) % tasks)
+                rows["rng"].append(int(place[a]) // tasks)
                 rows["tok"].append(np.ascontiguousarray(six).tobytes())
                 rows["own"].append(local.astype(np.uint16).tobytes())
                 rows["keys"].append(key_of[owners].tobytes())
             yield pa.RecordBatch.from_pydict(
-                rows, schema=pa.schema([("part", pa.int64()), ("tok", pa.binary()), ("own", pa.binary()), ("keys", pa.binary())])
+                rows, schema=pa.schema([("part", pa.int64()), ("rng", pa.int64()), ("tok", pa.binary()), ("own", pa.binary()), ("keys", pa.binary())])
             )
 
-    packed = pa.schema([("part", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toks, owners, keys, n = [], [], [], []
-        for b in batches:
-            for tok, own, key in zip(b.column("tok").to_pylist(), b.column("own").to_pylist(), b.column("keys").to_pylist(), strict=True):
-                if not tok:
-                    keys.append(np.frombuffer(key, np.int64))
-                    n.append(np.frombuffer(own, np.int64))
-                    continue
-                eight = np.zeros((len(tok) // 6, 8), np.uint8)
-                eight[:, :6] = np.frombuffer(tok, np.uint8).reshape(-1, 6)
-                toks.append(eight.view(np.uint64).ravel())
-                owners.append(np.frombuffer(key, np.int64)[np.frombuffer(own, np.uint16)])
-        if toks:
+        toks, owners, keys, n = [], [], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+
+        def range_ends() -> None:
+            """Count the tokens of the range held, as seen in one set or in more, into keys and n."""
+            if not toks:
+                return
             tok, own = np.concatenate(toks), np.concatenate(owners)
+            toks.clear()
+            owners.clear()
             order = np.lexsort((own, tok))
             tok, own = tok[order], own[order]
             fresh = np.r_[True, (tok[1:] != tok[:-1]) | (own[1:] != own[:-1])]
@@ -118,31 +120,38 @@ def shared_tokens(docs: DataFrame, k: int, parts: int) -> DataFrame:
             own = own[np.r_[same, False] | np.r_[False, same]]
             keys.append(own)
             n.append(np.ones(len(own), np.int64))
-        if not keys:
-            return
-        # What this part knows of each set goes to that set's own part, packed, one row for each part it knows of.
-        ids, n = _summed(np.concatenate(keys), np.concatenate(n))
-        part = ids % parts
-        order = np.argsort(part, kind="stable")
-        ids, n, part = ids[order], n[order], part[order]
-        cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
-        ends = np.r_[cut[1:], len(part)] if len(part) else []
-        rows = {"part": [int(part[a]) for a in cut], "keys": [ids[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], "n": [n[a:b].tobytes() for a, b in zip(cut, ends, strict=True)]}
-        yield pa.RecordBatch.from_pydict(rows, schema=packed)
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = [], []
-        for b in batches:
-            keys += [np.frombuffer(x, np.int64) for x in b.column("keys").to_pylist()]
-            n += [np.frombuffer(x, np.int64) for x in b.column("n").to_pylist()]
-        if keys:
-            ids, n = _summed(np.concatenate(keys), np.concatenate(n))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["k1", "shared"])
 
-    dealt = docs.mapInArrow(deal, "part long, tok binary, own binary, keys binary")
-    # One part a task: the part number itself is the partition, of tokens first and of sets next.
-    known = dealt.repartitionById(parts, F.col("part").cast("int")).mapInArrow(count, "part long, keys binary, n binary")
-    return known.repartitionById(parts, F.col("part").cast("int")).mapInArrow(total, "k1 long, shared long")
+        def known(most: int) -> Iterator[pa.RecordBatch]:
+            """Add up keys and n, and give them out if they are more than ``most`` sets."""
+            ids, sums = _summed(np.concatenate(keys), np.concatenate(n))
+            if full := len(ids) > most:
+                for at in range(0, len(ids), 65536):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 65536]), pa.array(sums[at : at + 65536])], names=["k1", "shared"])
+            keys[:], n[:] = ([ids[:0]], [sums[:0]]) if full else ([ids], [sums])
+
+        at = None
+        for b in batches:
+            for rng, tok, own, key in zip(*(b.column(c).to_pylist() for c in ("rng", "tok", "own", "keys")), strict=True):
+                if rng != at:
+                    range_ends()
+                    at = rng
+                if not tok:
+                    keys.append(np.frombuffer(key, np.int64))
+                    n.append(np.frombuffer(own, np.int64))
+                else:
+                    eight = np.zeros((len(tok) // 6, 8), np.uint8)
+                    eight[:, :6] = np.frombuffer(tok, np.uint8).reshape(-1, 6)
+                    toks.append(eight.view(np.uint64).ravel())
+                    owners.append(np.frombuffer(key, np.int64)[np.frombuffer(own, np.uint16)])
+            if sum(map(len, keys)) > 2 * HELD:
+                yield from known(HELD)
+        range_ends()
+        yield from known(0)
+
+    dealt = docs.mapInArrow(deal, "part long, rng long, tok binary, own binary, keys binary")
+    # The task number itself is the partition.
+    dealt = dealt.repartitionById(tasks, F.col("part").cast("int")).sortWithinPartitions("rng")
+    return dealt.mapInArrow(count, "k1 long, shared long").groupBy("k1").agg(F.sum("shared").alias("shared"))
 
 
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -296,11 +305,10 @@ def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = parts_for(docs)
     rows = scratch.keep(profile(docs, k), "profile")
     sets_of = rows.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"))
     sets_of = scratch.keep(sets_of, "classes")
-    shared = shared_tokens(docs, k, parts)
+    shared = shared_tokens(docs, k)
     left = sets_of.join(shared, "k1").where(f"100 * shared >= {percent} * n").select("id", "k1", "k2")
     left = scratch.keep(left, "candidates")
     scratch.drop()
