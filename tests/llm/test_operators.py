@@ -95,6 +95,27 @@ def brute_classes(texts, k, percent):
     return {i: (len(sets[i]), comp[i]) for i in range(len(sets))}
 
 
+def test_shared_tokens_are_never_too_few(spark, monkeypatch):
+    """Counts are exact for sets met once; copies may raise them. Small bounds make tasks give sets out several times."""
+    monkeypatch.setattr(jaccard, "HELD", 5)
+    r = random.Random(11)
+    common_line = words(r, 12)
+    texts = [f"{words(r, 30)} {common_line} {words(r, 20)}" for _ in range(90)] + [words(r, 40) for _ in range(20)] + [None, ""]
+
+    def known(texts):
+        return {q.k1: q.shared for q in jaccard.shared_tokens(docs(spark, texts), 4).collect()}
+
+    sets = {}
+    for t in texts:
+        if len(x := jaccard.shingle_set(t.encode() if t else None, 4)):
+            sets[jaccard.digest(x)[0]] = x.tolist()
+    df = Counter(x for s in sets.values() for x in s)
+    want = {key: n for key, s in sets.items() if (n := sum(df[x] > 1 for x in s))}
+    assert known(texts) == want
+    again = known(texts + texts[:50])
+    assert set(again) == set(want) and all(again[key] >= n for key, n in want.items())
+
+
 @pytest.mark.parametrize("k, percent", [(4, 85), (5, 80)])
 def test_jaccard_against_brute_force(spark, k, percent):
     r = random.Random(3)
