@@ -296,6 +296,18 @@ def test_html_keeps_whole_articles(spark):
         assert html.main_text(q.html, w) == want
 
 
+@pytest.mark.parametrize("value", ["<p>" + "a" * 5000 + "</p> tail", "x > y " * 20000])
+def test_html_long_quoted_attributes(value):
+    """A quoted value of any length belongs to its tag; quotes elsewhere open none."""
+    for quote in "\"'":
+        page = html.Page(f"<div data-x={quote}{value}{quote}><p>Text, here.</p></div>")
+        assert [t for _, t in page.pieces if t] == ["Text, here."] and len(page.parents) == 3
+    shown = lambda source: "|".join(t for _, t in html.Page(source).pieces if t)
+    assert shown(f"<p title=it's>{'One, ' * 2000}two.</p><p class='c'>Three.</p>").endswith("two.|Three.")
+    assert shown("<a href=\"x>Long text, kept.") == "Long text, kept."
+    assert len(html.Page("<b x=\">\" " * 30000).parents) == 1  # every ">" is quoted: read in one go
+
+
 # -- licenses and secrets
 def test_licenses_against_brute_force(spark):
     texts = [None, "", "x", "Released under the MIT License.", "prose\nLicensed under the Apache License,\nVersion 2.0.\n\nmore prose here", "released UNDER the mit licence", "All rights reserved. And more words follow here."]

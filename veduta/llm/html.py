@@ -14,7 +14,13 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+#: A tag's name, and one part of what follows it: a gap, or an attribute. Quotes open a value only after "=", as in browsers; one that
+#: is never closed opens none. Possessive: a part is read once, whatever its length.
+_NAME = r"<(/?)([a-zA-Z][^\s/>]*+)"
+_PART = r"[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]++))?+"
+_TAG = re.compile(rf"{_NAME}((?:{_PART})*+)>")
+_CUT = re.compile(rf"{_NAME}([^>]*+)>")
+_NAME, _PART = re.compile(_NAME), re.compile(_PART)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: HTML's element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,6 +53,25 @@ SIZE = len(FEATURES) + 2 * KINDS
 BREAK = -1
 
 
+def _tag(source: str, at: int, dead: set[int]) -> re.Match | None:
+    """The tag at ``at``: up to the first ">" outside quoted values, or the first of all if every later one is quoted.
+
+    ``dead`` gathers where parts start from which no ">" outside quotes follows, so that a page's tail is searched once.
+    """
+    if not dead and (m := _TAG.match(source, at)):
+        return m
+    if (name := _NAME.match(source, at)) is None:
+        return None
+    pos, seen = name.end(), [name.end()]
+    while pos not in dead and (part := _PART.match(source, pos)):
+        pos = part.end()
+        seen.append(pos)
+    if pos not in dead and source.startswith(">", pos):
+        return _TAG.match(source, at)
+    dead.update(seen)
+    return _CUT.match(source, at)
+
+
 class Page:
     """The block tree of a page: parents (in page order, root first), features, pieces of text by block, labels if given."""
 
@@ -60,6 +85,7 @@ class Page:
         text_len, link_len = [0], [0]
         words, sentence = [0], [False]
         pos, end, find = 0, len(source), source.find
+        dead: set[int] = set()
 
         def text(raw: str) -> None:
             if not raw:
@@ -93,7 +119,7 @@ class Page:
                     stop = find(">", at + 1)
                     pos = end if stop < 0 else stop + 1
                 continue
-            m = _TAG.match(source, at)
+            m = _tag(source, at, dead)
             if m is None:
                 if nxt == "/":
                     stop = find(">", at + 1)
@@ -105,7 +131,7 @@ class Page:
                     pos = at + 1
                 continue
             pos = m.end()
-            close, name, attrs = (m[1], m[2].lower(), m[3]) if m[2] else (m[4], m[5].lower(), m[6])
+            close, name, attrs = m[1], m[2].lower(), m[3]
             if close:
                 if name in ("br", "p") and all(x[0] != name for x in stack):
                     self.pieces.append((BREAK, ""))
