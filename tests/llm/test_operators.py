@@ -160,6 +160,18 @@ def test_near_matches_and_edges(spark):
     assert kinds == {"near"}
 
 
+def test_near_matches_do_not_depend_on_other_documents(spark):
+    """Replaced, inserted and deleted words, the replaced ones standing elsewhere in the corpus."""
+    w = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    items = spark.createDataFrame([(1, " ".join(w)), (2, "one two three")], "item_id long, text string")
+    changed = [" ".join(w[:i] + x + w[j:]) for i, j, x in [(2, 3, ["other"]), (5, 6, ["other"]), (4, 4, ["more"]), (4, 5, []), (0, 1, ["beta"]), (2, 5, ["a", "b", "c"])]]
+    others = ["gamma zeta", "alpha", "epsilon alpha delta", *([" ".join(x for x in w[::-1] if x not in ("gamma", "zeta"))] * 20)]
+    for texts in (changed, changed + others, [*changed, *others, " ".join(w)]):
+        got = {q.doc_id: (q.n_near, q.contaminated) for q in decontamination.contamination(docs(spark, texts), items, near=8).collect()}
+        whole = {len(texts) - 1} if texts[-1] == " ".join(w) else set()
+        assert {i for i, (n, _) in got.items() if n} == {0, 1, 2, 3, 4} and {i for i, (_, c) in got.items() if c} == whole
+
+
 # -- pseudonyms
 def test_pseudonyms(spark):
     texts = [None, "", "no data", "call +1 (017) 555-7713 or +1 (017) 555-7713", "card 4111111111111111", "mail a.b@example.com", "233.254.104.120", "2024-02-29 and 2023-02-30", "DE89 3704 0044 0532 0130 00", "9807915762804490"]

@@ -61,17 +61,39 @@ def build_index(scratch: Scratch, docs: DataFrame, vocabulary: DataFrame, n_term
     return Index(stored.where("term > 0").select("term", "rid", "pos"), ends, scratch)
 
 
+def _near(index: Index, terms: DataFrame, size: int, ranked: DataFrame, k: int, slack: int) -> DataFrame:
+    """rid, item, first, last of item windows of which ``k`` words or more stand within ``slack`` places of one another's alignment.
 
+    Such a window lacks at most w - k words, so two of its w - k + 2 rarest stand in the document. Alignments (position less
+    offset) are taken in bands of slack + 1 from ``base`` on; bands with two rare words are intersected with all lists.
+    """
+    scratch = index.scratch
+    rare = scratch.keep(ranked.where((F.col("w") > k) & (F.col("rank") <= F.col("w") - k + 2) & (F.col("cf") > 0)).select("item", "off", "term").distinct(), "rare")
+    diag = F.col("pos") - F.col("off")
+    found = index.postings.join(bounded(rare, size), "term").select("rid", "item", "off", F.explode(F.sequence(diag - slack, diag)).alias("base"))
+    bands = found.groupBy("rid", "item", "base").agg(F.min("off").alias("a"), F.max("off").alias("b")).where("a < b")
+    bands = scratch.keep(bands.select("rid", "item", "base"), "bands")
+    rids = scratch.keep(bands.select("rid").distinct(), "near-rids")
+    lists = index.postings.join(bounded(rids, rids.count()), "rid", "left_semi")
+    at = F.col("base") + F.col("off")
+    wanted = bands.join(bounded(terms, size), "item").withColumn("pos", F.explode(F.sequence(at, at + slack)))
+    hit = wanted.join(lists, ["rid", "term", "pos"], "left_semi").groupBy("rid", "item", "base", "off", "n", "w").agg(F.min("pos").alias("pos"))
+    start = F.explode(F.sequence(F.greatest(F.lit(0), F.col("off") - F.col("w") + 1), F.least(F.col("off"), F.col("n") - F.col("w"))))
+    windows = hit.withColumn("start", start).groupBy("rid", "item", "base", "start").agg(F.count("*").alias("k"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    return windows.where(F.col("k") >= k).select("rid", "item", "first", "last").distinct()
 
-def search(index: Index, words: DataFrame, vocabulary: DataFrame, near: int | None = None) -> DataFrame:
+
+def search(index: Index, words: DataFrame, vocabulary: DataFrame, near: int | None = None, slack: int = 1) -> DataFrame:
     """Occurrences of item windows: rid, item, first, last (positions), kind ("exact" or "near").
 
     Terms of a window are taken from the rarest in the corpus on. The rarest term's postings, moved back by its offset,
     give alignments of item and document; the second rarest term's list is intersected with them at its own offset;
     what is left is intersected with the lists of all other terms of the item. Runs of ``w`` or more
-    matched offsets are exact phrases. With ``near`` = k, windows of which k to w - 1 words (the two rarest among
-    them) stand at their offsets are returned as well.
+    matched offsets are exact phrases. With ``near`` = k (2 or more), windows of more than k words of which k words or more
+    stand at their offsets, give or take ``slack`` inserted or deleted words, are returned as well, but for those inside an exact phrase.
     """
+    if near is not None and near < 2:
+        raise ValueError("near matches need two words or more")
     scratch = index.scratch
     count = index.postings.groupBy("term").count().withColumnRenamed("count", "cf")
     terms = words.join(vocabulary, "word").join(count, "term", "left").withColumn("cf", F.coalesce("cf", F.lit(0)))
@@ -79,11 +101,9 @@ def search(index: Index, words: DataFrame, vocabulary: DataFrame, near: int | No
     size = terms.count()
     starts = terms.where("off <= n - w").select("item", F.col("off").alias("start"), "w")
     inside = starts.join(terms.drop("w"), "item").where("off >= start AND off < start + w")
-    if near is not None:
-        inside = inside.where("cf > 0")  # a window may lack words that the corpus lacks; else such a window cannot occur
     rank = Window.partitionBy("item", "start").orderBy("cf", "off")
-    ranked = inside.withColumn("rank", F.row_number().over(rank)).where("rank <= 2")
-    pair = ranked.groupBy("item", "start").agg(
+    ranked = inside.withColumn("rank", F.row_number().over(rank))
+    pair = ranked.where("rank <= 2").groupBy("item", "start").agg(
         F.min_by("term", "rank").alias("t1"), F.min_by("off", "rank").alias("o1"), F.min("cf").alias("cf"),
         F.max_by("term", "rank").alias("t2"), F.max_by("off", "rank").alias("o2"),
     )
@@ -102,18 +122,19 @@ def search(index: Index, words: DataFrame, vocabulary: DataFrame, near: int | No
     exact = runs.where("b - a + 1 >= w").select("rid", "item", (F.col("diag") + F.col("a")).alias("first"), (F.col("diag") + F.col("b")).alias("last"), F.lit("exact").alias("kind"))
     if near is None:
         return exact
-    ahead = by.orderBy("off").rangeBetween(0, WINDOW - 1)
-    close = hit.withColumn("k", F.count("*").over(ahead)).withColumn("end", F.max("off").over(ahead)).where(F.col("k").between(near, F.col("w") - 1))
-    return exact.unionByName(
-        close.select("rid", "item", (F.col("diag") + F.col("off")).alias("first"), (F.col("diag") + F.col("end")).alias("last"), F.lit("near").alias("kind"))
-    )
+    exact = scratch.keep(exact, "exact")
+    e = exact.select(F.col("rid").alias("r"), F.col("item").alias("i"), F.col("first").alias("a"), F.col("last").alias("b"))
+    inside = (F.col("rid") == F.col("r")) & (F.col("item") == F.col("i")) & (F.col("first") >= F.col("a")) & (F.col("last") <= F.col("b"))
+    close = _near(index, terms, size, ranked, near, slack).join(e, inside, "left_anti")
+    return exact.unionByName(close.withColumn("kind", F.lit("near")))
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): n_words, n_hit, n_items, items_sha256, contaminated.
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, near: int | None = None) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): n_words, n_hit, n_items, items_sha256, contaminated; with ``near`` = k also n_near.
 
     A window is ``window`` consecutive words of an item, or all words of a shorter one; a document word inside any
-    occurrence of a window is hit. ``items`` (item_id, text).
+    occurrence of a window is hit. ``items`` (item_id, text). ``n_near`` counts the items of which a window stands in the row with
+    k of its words or more (``search``), outside exact phrases; it changes no other column.
 
     Null and empty texts have no words and are not contaminated; items without words have no window. Repeated
     rows of documents stay separate rows, repeated or equal items are each counted once by item_id. The digest of no items is that of
@@ -122,7 +143,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     scratch = Scratch(docs.sparkSession, "decontaminate")
     words, vocabulary, n_terms = test_terms(scratch, items.select("item_id", "text"), window)
     index = build_index(scratch, docs.select("doc_id", "text"), vocabulary, n_terms)
-    found = scratch.keep(search(index, words, vocabulary), "found")
+    every = scratch.keep(search(index, words, vocabulary, near), "found")
+    found = every.where("kind = 'exact'")
     before = Window.partitionBy("rid").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
     new = F.col("last") - F.greatest(F.col("first"), F.coalesce(F.max("last").over(before) + 1, F.col("first"))) + 1
     covered = found.select("rid", "first", "last").distinct().withColumn("new", F.greatest(new, F.lit(0)))
@@ -133,9 +155,15 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     per = named.groupBy("rid").agg(F.array_sort(F.collect_set("id")).alias("ids")).join(n_hit, "rid")
     per = scratch.keep(per, "hits")
     out = index.docs.join(bounded(per, per.count()), "rid", "left")
+    more = []
+    if near is not None:
+        close = every.where("kind = 'near'").select("rid", "item").distinct().join(bounded(ids, n_terms), "item")
+        close = scratch.keep(close.select("rid", F.explode("ids").alias("id")).groupBy("rid").agg(F.count_distinct("id").alias("n_near")), "near")
+        out = out.join(bounded(close, close.count()), "rid", "left")
+        more = [F.coalesce("n_near", F.lit(0)).alias("n_near")]
     return out.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("ids", ","), F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        F.sha2(F.coalesce(F.array_join("ids", ","), F.lit("")), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), *more,
     )
 
 
@@ -143,6 +171,11 @@ def op5_decontamination(spark, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_near_decontamination(spark, sf_dir: str) -> DataFrame:
+    """As ``op5_decontamination``, with n_near: items of which 8 words of a window of ten stand in the document."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=8)
+
+
 _W = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_W} AS w FROM documents),
