@@ -188,6 +188,20 @@ def test_pseudonyms(spark):
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def test_ibans_end_where_their_country_says(spark):
+    """What follows an IBAN is no part of it; numbers after a code that is no IBAN are still found."""
+    codes = ["AT611904300234573201", "BE68539007547034", "ES9121000418450200051332", "DE89 3704 0044 0532 0130 00", "NO9386011117947", "PL61109010140000071219812874"]
+    after = [" EUR", " 50", " BIC", " IBAN", " 1234 ABCD", ", paid", ""]
+    texts = [f"to {c}{a}" for c in codes for a in after] + ["DE12 4111 1111 1111 1111", "card 3782 822463 10005"]
+    got = {q.doc_id: q for q in pii.pseudonymise(docs(spark, texts)).collect()}
+    for i, (c, a) in enumerate((c, a) for c in codes for a in after):
+        new = got[i].text.removeprefix("to ").removesuffix(a)
+        assert got[i].n_pii == 1 and got[i].text == f"to {new}{a}" and new != c and len(new) == len(c) and new[:2] == c[:2]
+        assert int("".join(str(int(x, 36)) for x in new[4:].replace(" ", "") + new[:4])) % 97 == 1
+    assert got[len(texts) - 2].n_pii == got[len(texts) - 1].n_pii == 1
+    assert re.fullmatch(r"card \d{4} \d{6} \d{5}", got[len(texts) - 1].text) and got[len(texts) - 1].text != texts[-1]
+
+
 @pytest.mark.parametrize("width", [1, 2, 3])
 def test_digit_permutation_is_one_to_one(spark, width):
     n = 10**width
