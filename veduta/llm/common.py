@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-import gc
+import ctypes
 import math
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of two longs that a broadcast may hold (about 16 MB); beyond it the same join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Bytes that a broadcast table may hold, by its rows' text form; beyond them the same join shuffles.
+BROADCAST_BYTES = 32 << 20
+#: Set while a table is written: its shuffle files go when it is done.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or, in one local process only, one of our own where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="veduta-shared-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -34,6 +41,27 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def tidy() -> None:
+    """Give back what a Python worker no longer holds: workers live on from stage to stage, and so would their peaks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A task body that tidies up after its last batch."""
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return body
+
+
 class Scratch:
     """Tables written to the shared folder. They cut lineage and outlive executors."""
 
@@ -48,21 +76,23 @@ class Scratch:
         return f"{self.root}/{self._n:03d}-{tag}"
 
     def keep(self, df: DataFrame, tag: str) -> DataFrame:
-        """Write ``df`` once and read it back."""
-        path = self.path(tag)
-        df.write.parquet(path)
+        """Write ``df`` once and read it back. The shuffle files that this takes are removed when it is written."""
+        path, before = self.path(tag), self.spark.conf.get(_CLEAN_UP, "false")
+        self.spark.conf.set(_CLEAN_UP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEAN_UP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._veduta_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete tables no longer read, and let Spark's cleaner remove shuffle files of finished jobs."""
+        """Delete tables no longer read."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for table in tables:
             path = jvm.org.apache.hadoop.fs.Path(table._veduta_path)
             path.getFileSystem(conf).delete(path, True)
-        gc.collect()
-        jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,9 +114,10 @@ def parts_for(df: DataFrame, small: int = 2 << 20, large: int = 64 << 20, many:
     return max(least, min(math.ceil(size / small), many), math.ceil(size / large))
 
 
-def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a counted table for broadcast if its row count is within the bound."""
-    return F.broadcast(df) if rows <= limit else df
+def bounded(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a stored table for broadcast if its rows, measured, are within the bound in bytes."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))) + 16 * len(df.columns))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
 
 
 def ascii_lower(text: Column) -> Column:
@@ -95,15 +126,14 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, lower))
 
 
-def meet(scratch: Scratch, queries: DataFrame, targets: DataFrame, body, schema: str, block: int) -> DataFrame:
+def meet(scratch: Scratch, queries: DataFrame, targets: DataFrame, body, schema: str, block: int, load: Column | None = None) -> DataFrame:
     """``body`` on the queries and targets of each (g, tb).
 
-    Targets of one (g, tb) are few; its queries may be many, so they are cut by id hash in blocks of about ``block``, each
-    with its copy of the targets: no group of queries meets in one task.
+    Targets of one (g, tb) are few; its queries may be many, so they are cut by id hash in blocks of about ``block`` rows (or of that much
+    ``load``, a number for each row), each with its copy of the targets: no group of queries meets in one task.
     """
-    n = queries.groupBy("g", "tb").agg(F.ceil(F.count("*") / block).cast("long").alias("nq"))
-    n = scratch.keep(n, "blocks")
-    n = bounded(n, n.count())
+    n = queries.groupBy("g", "tb").agg(F.ceil(F.sum(F.lit(1.0) if load is None else load) / block).cast("long").alias("nq"))
+    n = bounded(scratch.keep(n, "blocks"))
     left = queries.join(n, ["g", "tb"]).withColumn("qb", F.pmod(F.xxhash64("id"), F.col("nq"))).drop("nq")
     right = targets.join(n, ["g", "tb"]).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1))).drop("nq")
     # New column ids: both sides may come from the same table.

@@ -6,18 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded, components, meet, parts_for, table
+from .common import Scratch, bounded, components, meet, parts_for, table, tidied
 from .shingles import digest, shingle_set
 
-#: Sets compared in one task of the opening step, on either side.
-BLOCK = 256
+#: Sets compared in one task of the opening step, on either side; a set counts as one for every ``BLOCK_TOKENS`` tokens.
+BLOCK, BLOCK_TOKENS = 256, 1000
 #: Documents' tokens combined before they are dealt out.
-COMBINE = 500
+COMBINE = 250
 #: Input bytes whose tokens a task counts, range by range, and the sets it adds up before it gives them out.
-TASK_BYTES, HELD = 128 << 20, 500_000
+TASK_BYTES, HELD = 128 << 20, 250_000
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -32,8 +32,13 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = COMBINE) -> Iterator[
             yield b.slice(at, rows)
 
 
+def _load(n: str) -> Column:
+    """What a set of ``n`` tokens counts for in a block."""
+    return F.greatest(F.lit(1.0), F.col(n) / BLOCK_TOKENS)
+
+
 def profile(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles and a 128-bit digest (k1, k2) of the shingle set, for every row."""
+    """doc_id, t (hash of the text), n_shingles and a 128-bit digest (k1, k2) of the shingle set, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches, 512):
@@ -41,21 +46,26 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
             keys = [digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                    b.column("doc_id"), b.column("t"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([x[0] for x in keys], pa.int64()), pa.array([x[1] for x in keys], pa.int64()),
                 ],
-                names=["doc_id", "n_shingles", "k1", "k2"],
-            )
+                names=["doc_id", "t", "n_shingles", "k1", "k2"],
+            )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    return rows.mapInArrow(tidied(run), "doc_id long, t long, n_shingles long, k1 long, k2 long")
 
 
 def shared_tokens(docs: DataFrame, k: int) -> DataFrame:
-    """(k1, shared): how many tokens of each distinct set occur in another distinct set too, sets with none left out.
+    """(k1, shared): how many tokens of the head of each distinct set occur in the head of another too, sets with none left out.
 
-    Tokens are cut to 48 bits, and copies of a set may be counted apart (both only raise ``shared``). They are dealt by value to tasks and, in a task, to ranges, packed as
-    bytes: a batch's copies of a token are combined first, so a token of a third of all documents is one entry per batch. A task
-    counts its ranges one after another, holding one at a time, and adds up what they say of a set, so a set gives at most
+    A set's head is the smaller half of its tokens (``head``). Two sets with at least o tokens in common have at least o - n / 2 of them in both
+    heads, n being the larger size: the common tokens that a head lacks lie in the other half, and what both heads hold is a beginning of the
+    common tokens in order. Half of all tokens so serve to tell which sets can have a link.
+
+    Tokens are cut to 48 bits, and copies of a set may be counted apart (both only raise ``shared``). They are dealt by value to tasks and, in a
+    task, to ranges, packed as bytes: a batch's copies of a token are combined first, so a token of a third of all documents is one entry per
+    batch. A task counts its ranges one after another, holding one at a time, and adds up what they say of a set, so a set gives at most
     one row a task (more where a task meets over ``HELD`` sets). Ranges follow the input's size, and tokens are near-uniform over them.
     """
     # Every core has a task; past that, tasks follow the input by whole ``TASK_BYTES``, so sets are told of in few of them.
@@ -71,7 +81,7 @@ def shared_tokens(docs: DataFrame, k: int) -> DataFrame:
                 if len(s) and (key := digest(s)[0]) not in seen:
                     seen.add(key)
                     keys.append(key)
-                    sets.append(np.unique(s & _LOW48))
+                    sets.append(np.unique(head(s) & _LOW48))
             if not sets:
                 continue
             tok = np.concatenate(sets)
@@ -148,10 +158,15 @@ def shared_tokens(docs: DataFrame, k: int) -> DataFrame:
         range_ends()
         yield from known(0)
 
-    dealt = docs.mapInArrow(deal, "part long, rng long, tok binary, own binary, keys binary")
+    dealt = docs.select("text").mapInArrow(tidied(deal), "part long, rng long, tok binary, own binary, keys binary")
     # The task number itself is the partition.
     dealt = dealt.repartitionById(tasks, F.col("part").cast("int")).sortWithinPartitions("rng")
-    return dealt.mapInArrow(count, "k1 long, shared long").groupBy("k1").agg(F.sum("shared").alias("shared"))
+    return dealt.mapInArrow(tidied(count), "k1 long, shared long").groupBy("k1").agg(F.sum("shared").alias("shared"))
+
+
+def head(tokens: np.ndarray) -> np.ndarray:
+    """The smaller half of a sorted set, the middle one included."""
+    return tokens[: (len(tokens) + 1) // 2]
 
 
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,21 +175,21 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """id, n, k1, k2 and the set itself (sorted 64-bit tokens as bytes)."""
+    """n, k1, k2 and the set itself (sorted 64-bit tokens as bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches, 512):
+        for b in _slices(batches, 128):
             sets = [shingle_set(t, k) for t in _texts(b)]
             keys = [digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in keys], pa.int64()),
+                    pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in keys], pa.int64()),
                     pa.array([x[1] for x in keys], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
                 ],
-                names=["id", "n", "k1", "k2", "tokens"],
-            )
+                names=["n", "k1", "k2", "tokens"],
+            )
 
-    return docs.mapInArrow(run, "id long, n long, k1 long, k2 long, tokens binary")
+    return docs.select("text").mapInArrow(tidied(run), "n long, k1 long, k2 long, tokens binary")
 
 
 def postings(sets: DataFrame) -> DataFrame:
@@ -187,7 +202,7 @@ def postings(sets: DataFrame) -> DataFrame:
                     tok = np.frombuffer(t, np.int64)[at : at + 65536]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tok), i, np.int64)), pa.array(tok)], names=["id", "tok"])
 
-    return sets.select("id", "n", "tokens").mapInArrow(_joined(run), "id long, tok long")
+    return sets.select("id", "n", "tokens").mapInArrow(tidied(_joined(run)), "id long, tok long")
 
 
 def _joined(run):
@@ -282,41 +297,25 @@ def _unions(members: DataFrame) -> DataFrame:
     return members.groupBy("g", "tb").applyInArrow(unite, "g long, tb long, low long, high long, tokens binary")
 
 
-def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """One row per row of ``docs`` (doc_id long, text): doc_id, n_shingles, component_id.
-
-    Two documents link when 100 * common >= ``percent`` * union over their sets of ``k``-word shingles. component_id is the
-    smallest doc_id reachable by links, itself included; every link between different texts counts.
-
-    1. Equal sets become one class (128-bit digest).
-    2. A set of which fewer than percent % of tokens occur in any other set has no link: counted over all tokens.
-    3. What is left orders its tokens from the rarest on. With need = ceil(percent * n / 100), two linked sets share one of
-       their first n - need + 1 tokens. Each token of these prefixes has a leader, the set with the most common
-       tokens; sets are compared with the two leaders they meet most often. Links make components.
-    4. Token-group matrix: groups are the components and, of sets not yet linked, those of one leader; each block
-       of up to about ``BLOCK`` members stores the union of its tokens. A set asks the groups that its prefix meets in the union
-       of their prefixes, except its own component. Its overlap with a block's union bounds that with any member: below need the block stays
-       closed. Qualifying blocks are opened and compared, and their links join components.
-
-    Null, empty and blank texts: n_shingles 0, linked with nothing. Fewer than k words: the sequence is one shingle.
-    Repeated rows get equal results; rows of one doc_id with different texts are one document in components. An
-    empty table gives no rows. Other columns are ignored.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, t, n_shingles and root (a number for each component; null without shingles), for every row of ``docs`` (doc_id long, text)."""
+    scratch = Scratch(docs.sparkSession, "jaccard")
     rows = scratch.keep(profile(docs, k), "profile")
-    sets_of = rows.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"))
-    sets_of = scratch.keep(sets_of, "classes")
+    # ``id`` names a distinct set. It is made once and read back.
+    sets_of = rows.where("n_shingles > 0").groupBy("k1", "k2").agg(F.first("n_shingles").alias("n"))
+    sets_of = scratch.keep(sets_of.withColumn("id", F.monotonically_increasing_id()), "classes")
     shared = shared_tokens(docs, k)
-    left = sets_of.join(shared, "k1").where(f"100 * shared >= {percent} * n").select("id", "k1", "k2")
+    # Links share percent % of the larger set at least, so percent - 50 % of it in both heads (the middle token may be one more).
+    left = sets_of.join(shared, "k1").where(f"100 * shared >= {percent - 50} * n").select("id", "k1", "k2")
     left = scratch.keep(left, "candidates")
-    scratch.drop()
-    n_left = left.count()
-    keep = bounded(left.select(F.col("id").alias("doc_id")).distinct(), n_left)
-    sets = shingle_sets(docs.join(keep, "doc_id", "left_semi"), k).join(bounded(left, n_left), ["id", "k1", "k2"], "left_semi")
-    sets = scratch.keep(sets.dropDuplicates(["id", "k1", "k2"]).drop("k1", "k2"), "sets")
-    scratch.drop()
+    # One text of each candidate set: any row's will do.
+    texts = rows.where("n_shingles > 0").join(bounded(left.select("k1", "k2")), ["k1", "k2"], "left_semi")
+    texts = scratch.keep(texts.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "t")).alias("d")).select("d.doc_id", "d.t").distinct(), "one-text")
+    named = docs.withColumn("t", F.xxhash64("text"))
+    one = bounded(texts.toDF("d2", "t2"))
+    sets = shingle_sets(named.join(one, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("t") == F.col("t2")), "left_semi"), k)
+    sets = sets.join(bounded(left), ["k1", "k2"])
+    sets = scratch.keep(sets.dropDuplicates(["id"]).drop("k1", "k2"), "sets")
 
     all_tok = postings(sets)
     df = all_tok.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
@@ -324,22 +323,22 @@ def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     by_id = Window.partitionBy("id")
     need = F.ceil(F.col("n") * percent / 100)
     ranked = (
-        tok.join(sets.groupBy("id").agg(F.max("n").alias("n")), "id")
+        tok.join(sets.select("id", "n"), "id")
         .withColumn("known", F.count("*").over(by_id))
         .withColumn("central", F.sum("df").over(by_id) / F.col("n"))
         .withColumn("at", F.row_number().over(by_id.orderBy("df", "tok")))
         .where(F.col("at") <= F.col("known") - need + 1)
     )
     prefix = scratch.keep(ranked.select("id", "n", "tok", "central"), "prefix")
+    scratch.drop(tok)
     leader = prefix.groupBy("tok").agg(F.max_by("id", F.struct("central", "id")).alias("leader"))
     met = prefix.join(leader, "tok").where("id <> leader").groupBy("id", "leader").count()
     top = Window.partitionBy("id").orderBy(F.desc("count"), "leader")
     met = scratch.keep(met.withColumn("at", F.row_number().over(top)).where("at <= 2").select("id", F.col("leader").alias("g"), "at"), "leaders")
     zero = F.lit(0).cast("long").alias("tb")
     lead = met.select("g").distinct().join(sets.withColumnRenamed("id", "g"), "g").select("g", zero, F.col("g").alias("id"), "n", "tokens")
-    links = meet(scratch, met.join(sets, "id").select("g", zero, "id", "n", "tokens"), lead, _link(percent), "a long, b long", BLOCK)
+    links = meet(scratch, met.join(sets, "id").select("g", zero, "id", "n", "tokens"), lead, _link(percent), "a long, b long", BLOCK, _load("n"))
     links = scratch.keep(links, "links")
-    scratch.drop()
 
     # Groups: a component of two or more, or the unlinked sets of one leader. s = 1 for the latter.
     best = met.where("at = 1").select("id", F.col("g").alias("leader"))
@@ -353,37 +352,76 @@ def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     # Each two groups are compared from one side, unlinked sets asking components; such sets also ask their own group.
     once = "s2 < s OR (s2 = s AND (g2 < g OR (g2 = g AND s = 1)))"
     asked = scratch.keep(query.join(union, "tok").where(once).select("id", F.col("g2").alias("g")).distinct(), "asked")
-    size = ids.join(asked.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("nt"))
-    size = scratch.keep(size, "sizes")
-    size = bounded(size, size.count())
+    size = ids.join(asked.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.ceil(F.sum(_load("n")) / BLOCK).cast("long").alias("nt"))
+    size = bounded(scratch.keep(size, "sizes"))
     members = ids.select("id", "g").join(size, "g").select("g", F.pmod(F.xxhash64("id"), F.col("nt")).alias("tb"), "id")
     members = members.join(sets, "id").select("g", "tb", "id", "n", "tokens")
     matrix = scratch.keep(_unions(members), "matrix")
     asking = asked.join(size, "g").select("id", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nt") - 1)).alias("tb"))
-    bound = meet(scratch, asking.join(sets, "id").select("g", "tb", "id", "n", "tokens"), matrix, _bound(percent), "id long, g long, tb long", BLOCK)
+    asking = asking.join(sets, "id").select("g", "tb", "id", "n", "tokens")
+    bound = meet(scratch, asking, matrix, _bound(percent), "id long, g long, tb long", BLOCK, _load("n"))
     opened = scratch.keep(bound, "opened")
     inside = members.join(opened.select("g", "tb").distinct(), ["g", "tb"], "left_semi")
-    more = meet(scratch, opened.join(sets, "id").select("g", "tb", "id", "n", "tokens"), inside, _link(percent), "a long, b long", BLOCK)
+    more = meet(scratch, opened.join(sets, "id").select("g", "tb", "id", "n", "tokens"), inside, _link(percent), "a long, b long", BLOCK, _load("n"))
     links = scratch.keep(links.unionByName(more), "all-links")
     final = components(scratch, links)
-    named = sets_of.join(final, "id").select("k1", "k2", "root")
-    named = scratch.keep(named, "roots")
-    # A class outside every link is its own smallest id; exact copies share the class's smallest id.
-    alone = sets_of.join(named.select("k1", "k2"), ["k1", "k2"], "left_anti").select("k1", "k2", F.col("id").alias("root"))
-    several_rows = rows.where("n_shingles > 0").join(named.unionByName(alone), ["k1", "k2"], "left")
-    return several_rows.select("doc_id", "n_shingles", F.col("root").alias("component_id")).unionByName(
-        rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    )
+    named = scratch.keep(sets_of.join(final, "id", "left").select("k1", "k2", F.coalesce("root", "id").alias("root")), "roots")
+    return rows.join(named, ["k1", "k2"], "left").select("doc_id", "t", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("root")).alias("root"))
+
+
+def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """One row per row of ``docs`` (doc_id long, text): doc_id, n_shingles, component_id.
+
+    Two documents link when 100 * common >= ``percent`` * union over their sets of ``k``-word shingles (``percent`` above 50). component_id is the
+    smallest doc_id reachable by links, itself included; every link between different texts counts.
+
+    1. Equal sets become one class (128-bit digest).
+    2. A set of whose smaller half too few tokens occur in that of any other set has no link: counted over all sets (``shared_tokens``).
+    3. What is left orders its tokens from the rarest on. With need = ceil(percent * n / 100), two linked sets share one of
+       their first n - need + 1 tokens. Each token of these prefixes has a leader, the set with the most common
+       tokens; sets are compared with the two leaders they meet most often. Links make components.
+    4. Token-group matrix: groups are the components and, of sets not yet linked, those of one leader; each block
+       of up to about ``BLOCK`` members stores the union of its tokens. A set asks the groups that its prefix meets in the union
+       of their prefixes, except its own component. Its overlap with a block's union bounds that with any member: below need the block stays
+       closed. Qualifying blocks are opened and compared, and their links join components.
+
+    Null, empty and blank texts: n_shingles 0, linked with nothing. Fewer than k words: the sequence is one shingle.
+    Every row is a document: repeated rows get equal results, rows of one doc_id with different texts are linked by their texts only. A null
+    doc_id takes part and is never the smallest; component_id is null if all reachable are. Texts may be of any length. An empty
+    table gives no rows. Other columns are ignored.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = _classes(docs, k, percent)
+    least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    linked = rows.where("root IS NOT NULL").join(least, "root").select("doc_id", "n_shingles", "component_id")
+    return linked.unionByName(rows.where("root IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document (the smallest doc_id) of each component kept, all its columns and repeated rows of that id as one."""
-    found = classes(docs.select("doc_id", "text"), k, percent)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` with one document of each component kept, all its columns and, of the others, none.
+
+    The document of the smallest doc_id stays (ids that are null come last; of one id's texts the one with the smallest hash). Of rows that
+    repeat it word for word one stays. Rows without words are linked with nothing and all stay. Rows of one doc_id whose texts are not linked are
+    different documents. An empty table gives no rows.
+    """
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = _classes(plain, k, percent).where("root IS NOT NULL")
+    rows = scratch.keep(rows.groupBy("root", "doc_id", "t").agg(F.count("*").alias("n")), "rows")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "t")
+    first = scratch.keep(rows.groupBy("root").agg(F.min(order).alias("f")).select("root", F.col("f.doc_id").alias("d"), F.col("f.t").alias("ft")), "first")
+    told = rows.join(first, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("ft")))
+    told = told.where("NOT stays OR n > 1").select(F.col("doc_id").alias("_d"), F.col("t").alias("_h"), "stays")
+    told = scratch.keep(told, "told")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h"))
+    alone = docs.join(bounded(told.drop("stays")), same, "left_anti")
+    again = bounded(told.where("stays").drop("stays"))
+    copies = docs.join(again, same).dropDuplicates(["_d", "_h"]).select(*docs.columns)
+    return alone.unionByName(copies)
 
 
 def op9_jaccard(spark, sf_dir: str) -> DataFrame:
+    """Four-word shingles, similarity 0.85 or more, over all documents: doc_id, n_shingles, component_id."""
     return classes(table(spark, sf_dir, "documents"), 4, 85)
 
 

@@ -18,32 +18,43 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
+def _numbered(scratch: Scratch, sizes: DataFrame) -> DataFrame:
+    """``sizes`` with ``rank``: 0-based place of the source by code point, null last, by a distributed sort and the sizes of its partitions."""
+    place = F.monotonically_increasing_id()
+    placed = scratch.keep(sizes.orderBy(F.col("source").asc_nulls_last()).withColumn("place", place), "sources")
+    part = F.shiftrightunsigned("place", 33).alias("part")
+    counts = placed.groupBy(part).agg(F.max("place").alias("last")).orderBy("part").collect()  # a row for each partition
+    before, rows = 0, []
+    for r in counts:
+        rows.append((r["part"], before - (r["part"] << 33)))
+        before += r["last"] - (r["part"] << 33) + 1
+    shift = scratch.spark.createDataFrame(rows, "part long, shift long")
+    return placed.withColumn("part", part).join(F.broadcast(shift), "part").withColumn("rank", F.col("place") + F.col("shift")).drop("part", "place", "shift")
+
+
+def source_targets(scratch: Scratch, sizes: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
     """(source, source_size) to (source, source_size, target).
 
     Sources by code point, null last, weigh 1, 2, 3, repeating, and share the total size; a target stops at
-    ``max_copies`` times its source, the excess going to the rest by weight. One row per source: a source's level is
-    its limit by weight, and those of lowest level are held first, so one ordered pass finds all that are held.
+    ``max_copies`` times its source, the excess going to the rest by weight. The level of the rest, words for each unit of weight, rises as sources
+    below it are held at their limits, until none is: a few sums over the sources, of which there may be any number.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = sizes.withColumn("w", (F.row_number().over(order) - 1) % 3 + 1)
-    every = Window.partitionBy()
-    level = Window.orderBy("level", F.col("source").asc_nulls_last())
-    held = level.rowsBetween(Window.unboundedPreceding, -1)
-    x = (
-        ranked.withColumn("cap", F.col("source_size") * max_copies)
-        .withColumn("level", F.col("cap").cast("double") / F.col("w"))
-        .withColumn("total", F.sum("source_size").over(every))
-        .withColumn("rest", F.col("total") - F.coalesce(F.sum("cap").over(held), F.lit(0)))
-        .withColumn("rest_w", F.sum("w").over(every) - F.coalesce(F.sum("w").over(held), F.lit(0)))
-        .withColumn("over", F.col("cap") * F.col("rest_w") <= F.col("rest") * F.col("w"))
-    )
-    # Of the sources not held, the first in level order has the remainder and the weight that all of them share.
-    free = x.where(~F.col("over")).agg(F.max("rest").alias("free"), F.max("rest_w").alias("free_w"))
-    target = F.when(F.col("over"), F.col("cap").cast("double")).otherwise(
-        F.col("free").cast("double") * F.col("w") / F.col("free_w")
-    )
-    return x.join(F.broadcast(free)).select("source", "source_size", target.alias("target"))
+    x = _numbered(scratch, sizes).withColumn("w", F.col("rank") % 3 + 1).withColumn("cap", F.col("source_size") * max_copies)
+    x = scratch.keep(x.drop("rank"), "weights")
+    wide = lambda c: F.col(c).cast("decimal(28,0)")
+    total, weight = x.agg(F.sum(wide("source_size")), F.sum(wide("w"))).first()
+    rest, rest_w = int(total or 0), int(weight or 0)
+    while rest_w:
+        held = wide("cap") * F.lit(rest_w).cast("decimal(10,0)") <= F.lit(rest).cast("decimal(28,0)") * wide("w")
+        some = x.where(held).agg(F.sum(wide("cap")), F.sum(wide("w"))).first()
+        now = int(total) - int(some[0] or 0), int(weight) - int(some[1] or 0)
+        if now == (rest, rest_w):
+            break
+        rest, rest_w = now
+    if not rest_w:
+        return x.select("source", "source_size", F.col("cap").cast("double").alias("target"))
+    target = F.when(held, F.col("cap").cast("double")).otherwise(F.lit(float(rest)) * F.col("w") / F.lit(rest_w))
+    return x.select("source", "source_size", target.alias("target"))
 
 
 def uniform(key: Column, seed: str) -> Column:
@@ -67,8 +78,7 @@ def mix(docs: DataFrame, seed: str = SEED, max_copies: int = MAX_COPIES, steps:
     scratch = Scratch(docs.sparkSession, "mix")
     rows = scratch.keep(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = scratch.keep(source_targets(per_source, max_copies).withColumnRenamed("source", "t_source"), "targets")
-    targets = bounded(targets, n_sources := targets.count())
+    targets = bounded(scratch.keep(source_targets(scratch, per_source, max_copies).withColumnRenamed("source", "t_source"), "targets"))
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.least(F.floor("copies"), F.lit(max_copies)).cast("long")
     ranked = (
@@ -96,7 +106,7 @@ def mix(docs: DataFrame, seed: str = SEED, max_copies: int = MAX_COPIES, steps:
         .agg(F.max("step").alias("edge"), F.max("before").alias("before"))
         .withColumnRenamed("source", "e_source")
     )
-    edge = bounded(scratch.keep(edge, "edges"), n_sources)
+    edge = bounded(scratch.keep(edge, "edges"))
     placed = ranked.join(edge, F.col("source").eqNullSafe(F.col("e_source")), "left").drop("e_source")
     inside = F.col("q").isNotNull() & (F.col("size") > 0)
     at_edge = inside & (F.col("step") == F.col("edge"))
@@ -112,6 +122,7 @@ def mix(docs: DataFrame, seed: str = SEED, max_copies: int = MAX_COPIES, steps:
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document: doc_id, size, source_size, target, taken."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 

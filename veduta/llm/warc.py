@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import math
 import uuid
 import zlib
@@ -15,7 +16,7 @@ import pyarrow.ipc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded, table
+from .common import Scratch, bounded, table, tidied
 
 #: Least payload that may be a revisit; compressed bytes after which a new archive is begun; runs merged at once; rows read at a time.
 LEAST_BYTES, ARCHIVE_BYTES, FAN_IN, ROWS = 1000, 64 << 20, 64, 2048
@@ -245,52 +246,75 @@ def _slice(fs, path: str, low: tuple | None, high: tuple | None) -> Iterator[tup
                     yield row
 
 
-def _merge_groups(spark: SparkSession, runs: str, paths: list[str], fan_in: int) -> list[str]:
-    """Merge groups of at most ``fan_in`` runs into one each, one task a group."""
+#: A task's share of a merge: consecutive keys from low to below high, and the runs that hold them.
+_SHARE = "id long, low_key string, low_ts string, high_key string, high_ts string, run array<string>"
+
+
+def _shares(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """Shares in order, one a partition."""
+    frame = spark.createDataFrame([(i, *(low or (None, None)), *(high or (None, None)), list(run)) for i, (low, high, run) in enumerate(rows)], _SHARE)
+    return frame.repartitionByRange(max(1, len(rows)), "id").sortWithinPartitions("id")
+
+
+def _merged(fs, base: str, b: pa.RecordBatch) -> Iterator[Iterator[tuple]]:
+    """Of each share of a batch its captures in order."""
+    for low_key, low_ts, high_key, high_ts, run in zip(*(b.column(c).to_pylist() for c in ("low_key", "low_ts", "high_key", "high_ts", "run")), strict=True):
+        low, high = (None if key is None else (key, ts) for key, ts in ((low_key, low_ts), (high_key, high_ts)))
+        yield iter(LoserTree([_slice(fs, f"{base}/{p}", low, high) for p in run]))
+
+
+def _merge_pass(spark: SparkSession, runs: str, ranges: list[tuple], fan_in: int) -> list[tuple]:
+    """Of each range (low, high, runs) groups of at most ``fan_in`` runs become one run each: a task a group and range."""
+    shares = [(low, high, paths[i : i + fan_in]) for low, high, paths in ranges for i in range(0, len(paths), fan_in)]
+    owner = [n for n, (_, _, paths) in enumerate(ranges) for _ in range(0, len(paths), fan_in)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open_fs(runs)
         for b in batches:
-            for group in b.column("group").to_pylist():
+            for i, rows in zip(b.column("id").to_pylist(), _merged(fs, base, b), strict=True):
                 path = f"{uuid.uuid4().hex}.run"
-                _save_run(fs, f"{base}/{path}", iter(LoserTree([_slice(fs, f"{base}/{p}", None, None) for p in group])))
-                yield pa.RecordBatch.from_pydict({"run": [path]})
+                if _save_run(fs, f"{base}/{path}", rows)[0]:
+                    yield pa.RecordBatch.from_pydict({"id": [i], "run": [path]})
 
-    groups = [(paths[i : i + fan_in],) for i in range(0, len(paths), fan_in)]
-    frame = spark.createDataFrame(groups, "group array<string>").repartition(len(groups))
-    return [r[0] for r in frame.mapInArrow(run, "run string").collect()]
+    made: dict[int, list[str]] = {}
+    for i, path in sorted(tuple(r) for r in _shares(spark, shares).mapInArrow(tidied(run), "id long, run string").collect()):
+        made.setdefault(owner[i], []).append(path)
+    return [(low, high, made.get(n, [])) for n, (low, high, _) in enumerate(ranges)]
 
 
 def merge(spark: SparkSession, runs: str, manifest: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """All captures of the runs in one global order: partitions are consecutive key ranges, each merged by a loser tree.
 
-    Beyond ``fan_in`` runs, groups are merged into longer runs first. What the driver holds is one name per run and at most ``SAMPLE`` split keys. Ranges
+    Beyond ``fan_in`` runs the keys are cut into as many ranges as there are groups of runs, and passes merge groups of each range into longer runs, so
+    every pass has a task for each group and range. What the driver holds is the names of runs and at most ``SAMPLE`` split keys. Ranges
     are cut by URL key and time, so a page captured very often is no single task.
     """
     total = manifest.agg(F.sum("rows")).first()[0] or 0
     paths = sorted(r[0] for r in manifest.select("run").distinct().collect())
-    while len(paths) > fan_in:
-        paths = _merge_groups(spark, runs, paths, fan_in)
     sample = sorted(r[0] for r in manifest.select("first").orderBy(F.xxhash64("run", "first")).limit(SAMPLE).collect())
-    ranges = max(1, min(math.ceil(total / RANGE_ROWS), len(sample)))
-    cuts = sorted({tuple(sample[i * len(sample) // ranges].rsplit("\t", 1)) for i in range(1, ranges)})
-    bounds = list(zip([None, *cuts], [*cuts, None], strict=True))
+
+    def cut(n: int) -> list[tuple]:
+        n = max(1, min(n, len(sample)))
+        return sorted({tuple(sample[i * len(sample) // n].rsplit("\t", 1)) for i in range(1, n)})
+
+    wide = cut(math.ceil(len(paths) / fan_in))
+    ranges = [(low, high, paths) for low, high in zip([None, *wide], [*wide, None], strict=True)]
+    while any(len(p) > fan_in for _, _, p in ranges):
+        ranges = _merge_pass(spark, runs, ranges, fan_in)
+    narrow, shares = cut(math.ceil(total / RANGE_ROWS)), []
+    for low, high, held in ranges:
+        inner = [c for c in narrow if (low is None or c > low) and (high is None or c < high)]
+        shares += [(a, b, held) for a, b in zip([low, *inner], [*inner, high], strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open_fs(runs)
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), RUN.types, strict=True)], schema=RUN)
         for b in batches:
-            for i in b.column("id").to_pylist():
-                low, high = bounds[i]
-                held = []
-                for row in LoserTree([_slice(fs, f"{base}/{p}", low, high) for p in paths]):
-                    held.append(row)
-                    if len(held) == ROWS:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), RUN.types, strict=True)], schema=RUN)
-                        held = []
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), RUN.types, strict=True)], schema=RUN)
+            for rows in _merged(fs, base, b):
+                while held := list(itertools.islice(rows, ROWS)):
+                    yield made(held)
 
-    return spark.range(0, len(bounds), 1, len(bounds)).mapInArrow(run, RUN_DDL)
+    return _shares(spark, shares).mapInArrow(tidied(run), RUN_DDL)
 
 
 def archive(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, fan_in: int = FAN_IN) -> DataFrame:
@@ -313,22 +337,23 @@ def archive(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, fan_in: int =
     long = scratch.keep(long.where("page_id IS NOT NULL"), "digests")
     last = long.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("low")).where("low < refers_to").drop("low")
     last = scratch.keep(last, "last")
-    revisit = long.join(bounded(last, last.count()), "sha").where("page_id < refers_to").select("page_id", "sha", "refers_to").distinct()
+    revisit = long.join(bounded(last), "sha").where("page_id < refers_to").select("page_id", "sha", "refers_to").distinct()
     revisit = scratch.keep(revisit, "revisits")
     planned = page.withColumn("sha", F.when(F.octet_length("html") >= LEAST_BYTES, F.sha2("html", 256))).join(
-        bounded(revisit, revisit.count()), ["page_id", "sha"], "left"
+        bounded(revisit), ["page_id", "sha"], "left"
     )
     archives, runs = scratch.path("archives"), scratch.path("runs")
-    files = planned.select("page_id", "url", "ts", "html", "refers_to").mapInArrow(_writer(archives, archive_bytes), "file string, records long, bytes long")
+    files = planned.select("page_id", "url", "ts", "html", "refers_to").mapInArrow(tidied(_writer(archives, archive_bytes)), "file string, records long, bytes long")
     files = scratch.keep(files, "manifest")
     n = max(1, files.count())
     # One archive a task.
     named = files.select("file").repartition(n)
-    manifest = scratch.keep(named.mapInArrow(_indexer(archives, runs), "run string, rows long, first string"), "runs-manifest")
+    manifest = scratch.keep(named.mapInArrow(tidied(_indexer(archives, runs)), "run string, rows long, first string"), "runs-manifest")
     return merge(spark, runs, manifest, fan_in)
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
