@@ -24,9 +24,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _columns(docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti"), docs)
+    """Documents without a window of a benchmark item, judged each by its text."""
+    return _columns(decontamination.clean(docs, table(spark, sf_dir, "benchmark")), docs)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
