@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,36 +10,69 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, meet, table
+from .common import Scratch, bounded, components, meet, table, tidied
 
-#: Vectors a block holds on either side of a product (1,024 x 1,024 doubles: 8 MB).
-BLOCK = 1024
-#: Bounds of the cell model: sampled components (about 20,000 vectors of 64), cells, mean vectors a cell.
-TRAIN_VALUES, MAX_CELLS, PER_CELL = 1_280_000, 512, 2048
-_CELLS = 1 << 20
+#: Components of the vectors that a block holds on either side of a product (4,096 vectors of 64; 2 MB).
+BLOCK_VALUES = 4096 * 64
+#: Vectors a cell holds, about, and a group of neighbouring cells that is shipped as one.
+PER_CELL, PER_GROUP = 128, 2048
+#: Bounds of the cell model: cells in all, sampled vectors a cell, sampled components in all.
+MAX_CELLS, SAMPLE, TRAIN_VALUES = 4096, 32, 4_000_000
+_GROUPS = 1 << 20
 
 
 def centroids(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
-    """Spherical k-means on unit rows: cells by largest cosine, centres by normalised sums."""
+    """Spherical k-means on unit rows: cells by largest cosine, centres by normalised sums. An empty cell keeps its centre."""
     rng = np.random.default_rng(seed)
-    centre = sample[rng.choice(len(sample), size=k, replace=False)]
+    centre = sample[rng.choice(len(sample), size=k, replace=False)].copy()
     for _ in range(rounds):
         home = np.argmax(sample @ centre.T, axis=1)
-        for c in range(k):
-            total = sample[home == c].sum(axis=0)
-            norm = np.linalg.norm(total)
-            if norm > 0:
-                centre[c] = total / norm
+        order = np.argsort(home, kind="stable")
+        cells, first = np.unique(home[order], return_index=True)
+        total = np.add.reduceat(sample[order], first, axis=0)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        some = norm[:, 0] > 0
+        centre[cells[some]] = total[some] / norm[some]
     return centre
 
 
-def _assign(model: dict[int, np.ndarray], least: float):
-    """Rows (id, copies, v) to (g, home, ...): the vector's own cell, and cells after it where it may find a link.
+class Cells:
+    """Centres of one vector length, the group of each, and the bound that says which cells a vector must be compared with.
 
-    For unit vectors x in cell a and y in cell b with angle(x, y) <= t: y.a <= y.b, so x.a - x.b <= sin(t) * |a - b|. A linked
-    pair meets that from both sides, so it is found where the vector of the lower cell visits the higher one.
+    For unit vectors x in cell a and y in cell b with angle(x, y) <= t: y.a <= y.b, so x.a - x.b <= sin(t) * |a - b|; and the same with x and y
+    changed about. A linked pair meets both bounds, so only vectors of a that may have a link in b are compared with those of b that may have one in a.
     """
-    sin = float(np.sqrt(1 - least * least)) if least > 0 else 1.0
+
+    def __init__(self, centre: np.ndarray, group: np.ndarray, least: float):
+        self.centre, self.group = centre, group
+        sin = math.sqrt(1 - least * least) if least > 0 else 1.0
+        self.reach = sin * np.sqrt(np.maximum(0, 2 - 2 * centre @ centre.T)) + 1e-9
+
+    def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's cell, and whether it may have links in each of the cells."""
+        dots = x @ self.centre.T
+        home = np.argmax(dots, axis=1)
+        return home, dots[np.arange(len(x)), home][:, None] - dots <= self.reach[home]
+
+
+def train(sample: np.ndarray, n: int, least: float, cells: int = MAX_CELLS) -> Cells:
+    """A model for ``n`` vectors from a sample of them: about ``PER_CELL`` vectors a cell, at most ``cells`` cells; cells in groups by k-means too."""
+    k = max(1, min(cells, n // PER_CELL, len(sample)))
+    centre = centroids(sample, k)
+    groups = max(1, min(k, n // PER_GROUP))
+    top = centroids(centre, groups)
+    return Cells(centre, np.argmax(centre @ top.T, axis=1), least)
+
+
+def _unit(raw: list) -> np.ndarray:
+    x = np.array(raw, dtype=np.float64)
+    # Scaled first: squares of very large or small components would leave the range of doubles.
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _ship(model: dict[int, Cells]):
+    """Rows (id, copies, embedding) to (g, own, id, copies, v): the vector's own group of cells, and later groups where it may have links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -47,117 +81,166 @@ def _assign(model: dict[int, np.ndarray], least: float):
             for i, x in enumerate(raw):
                 by_dim.setdefault(len(x), []).append(i)
             for dim, rows in by_dim.items():
-                x = np.array([raw[i] for i in rows], dtype=np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                centre = model.get(dim)
-                if centre is None:
-                    home, near = np.zeros(len(rows), int), np.zeros((len(rows), 1), bool)
+                x = _unit([raw[i] for i in rows])
+                cells = model.get(dim)
+                if cells is None:
+                    home, at, to = np.zeros(len(rows), int), np.empty(0, int), np.empty(0, int)
                 else:
-                    dots = x @ centre.T
-                    home = np.argmax(dots, axis=1)
-                    apart = np.sqrt(np.maximum(0, 2 - 2 * centre @ centre.T))
-                    near = dots[np.arange(len(rows)), home][:, None] - dots <= sin * apart[home] + 1e-9
-                    near &= np.arange(len(centre))[None, :] > home[:, None]
-                at, cell = np.nonzero(near)
+                    cell, near = cells.home(x)
+                    home = cells.group[cell]
+                    far = np.zeros((len(rows), cells.group.max() + 1), bool)
+                    np.logical_or.at(far.T, cells.group, near.T)
+                    far &= np.arange(far.shape[1])[None, :] > home[:, None]
+                    at, to = np.nonzero(far)
                 pick = np.r_[np.arange(len(rows)), at]
-                g = dim * _CELLS + np.r_[home, cell]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(g, pa.int64()), pa.array(np.r_[np.ones(len(rows), bool), np.zeros(len(at), bool)]),
+                        pa.array(dim * _GROUPS + np.r_[home, to], pa.int64()), pa.array(np.r_[np.ones(len(rows), bool), np.zeros(len(at), bool)]),
                         pa.array([ids[rows[i]] for i in pick], pa.int64()), pa.array([copies[rows[i]] for i in pick], pa.int64()),
                         pa.array([x[i].tobytes() for i in pick], pa.binary()),
                     ],
-                    names=["g", "home", "id", "copies", "v"],
-                )
+                    names=["g", "own", "id", "copies", "v"],
+                )
 
     return run
 
 
-def _products(least: float):
-    """Task body: link counts of both sides and a spanning forest of the links, from one blocked cosine product."""
+class _Side:
+    """One side of a block pair: ids, copies, unit vectors, their cells and where they may have links."""
+
+    def __init__(self, rows: pa.Table, cells: Cells | None):
+        self.id, self.copies = (np.array(rows.column(c).to_pylist(), np.int64) for c in ("id", "copies"))
+        self.v = np.frombuffer(b"".join(rows.column("v").to_pylist()), np.float64).reshape(rows.num_rows, -1)
+        self.cell, self.near = cells.home(self.v) if cells else (np.zeros(rows.num_rows, int), np.ones((rows.num_rows, 1), bool))
+        self.cells = np.unique(self.cell)
+
+
+def _roots(linked: np.ndarray, q: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest id that each side's rows reach by links of this product."""
+    far = np.iinfo(np.int64).max
+    while True:
+        q2 = np.minimum(q, np.where(linked, t[None, :], far).min(axis=1))
+        t2 = np.minimum(t, np.where(linked, q2[:, None], far).min(axis=0))
+        if (q2 == q).all() and (t2 == t).all():
+            return q, t
+        q, t = q2, t2
+
+
+def _products(model: dict[int, Cells], least: float):
+    """Task body: link counts of both sides, a spanning forest of the links, and the number of pairs compared (id null)."""
 
     def body(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"id": [], "n": [], "other": []}
+        out: dict[str, list] = {"id": [], "n": [], "other": []}
+
+        def tell(ids, n, other):
+            out["id"] += list(ids)
+            out["n"] += list(n)
+            out["other"] += list(other)
+
         if left.num_rows and right.num_rows:
-            load = lambda t: np.frombuffer(b"".join(t.column("v").to_pylist()), np.float64).reshape(t.num_rows, -1)
-            qi, ti = (np.array(t.column("id").to_pylist(), np.int64) for t in (left, right))
-            qc, tc = (np.array(t.column("copies").to_pylist(), np.int64) for t in (left, right))
-            home = np.array(left.column("home").to_pylist(), bool)
-            linked = (load(left) @ load(right).T >= least) & (qi[:, None] != ti[None, :])
-            n_q = linked @ tc
-            n_t = qc[~home] @ linked[~home] if (~home).any() else np.zeros(len(ti), np.int64)
-            for ids, n in ((qi, n_q), (ti, n_t)):
-                some = n > 0
-                out["id"] += ids[some].tolist()
-                out["n"] += n[some].tolist()
-                out["other"] += [None] * int(some.sum())
-            # Smallest id reachable inside this block, by turns over the two sides.
-            far = np.int64(np.iinfo(np.int64).max)
-            q, t = qi.copy(), ti.copy()
-            while True:
-                q2 = np.minimum(q, np.where(linked, t[None, :], far).min(axis=1))
-                t2 = np.minimum(t, np.where(linked, q2[:, None], far).min(axis=0))
-                if (q2 == q).all() and (t2 == t).all():
-                    break
-                q, t = q2, t2
-            for ids, roots in ((qi, q), (ti, t)):
-                moved = ids != roots
-                out["id"] += ids[moved].tolist()
-                out["n"] += [0] * int(moved.sum())
-                out["other"] += roots[moved].tolist()
+            cells = model.get(int(left.column("g")[0].as_py()) // _GROUPS)
+            q, t = _Side(left, cells), _Side(right, cells)
+            own = np.array(left.column("own").to_pylist(), bool)
+            compared = 0
+            for a in q.cells:
+                for b in t.cells:
+                    same = a == b
+                    rows = (q.cell == a) & q.near[:, b]
+                    # Inside a group, pairs of two cells come up from both sides: taken from the lower cell's.
+                    rows &= own if same else ~own if a > b else True
+                    cols = (t.cell == b) & t.near[:, a]
+                    i, j = np.flatnonzero(rows), np.flatnonzero(cols)
+                    if not len(i) or not len(j):
+                        continue
+                    compared += len(i) * len(j)
+                    linked = q.v[i] @ t.v[j].T >= least
+                    if same:
+                        linked &= q.id[i][:, None] != t.id[j][None, :]
+                    if not linked.any():
+                        continue
+                    x, y = linked.any(axis=1), linked.any(axis=0)
+                    i, j, linked = i[x], j[y], linked[x][:, y]
+                    tell(q.id[i].tolist(), (linked @ t.copies[j]).tolist(), [None] * len(i))
+                    if not same:
+                        tell(t.id[j].tolist(), (q.copies[i] @ linked).tolist(), [None] * len(j))
+                    for ids, roots in zip((q.id[i], t.id[j]), _roots(linked, q.id[i], t.id[j]), strict=True):
+                        moved = ids != roots
+                        tell(ids[moved].tolist(), [0] * int(moved.sum()), roots[moved].tolist())
+            tell([None], [compared], [None])
         return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
     return body
 
 
+def models(distinct: DataFrame, least: float) -> dict[int, Cells]:
+    """A cell model for each length of vectors (id, embedding) with two cells or more, the commonest first, while ``MAX_CELLS`` lasts.
+
+    Fitted on a sample by id hash: ``SAMPLE`` vectors a cell, at most ``TRAIN_VALUES`` components.
+    """
+    out: dict[int, Cells] = {}
+    left = MAX_CELLS
+    lengths = distinct.groupBy(F.size("embedding").alias("dim")).count().where(F.col("count") >= 2 * PER_CELL)
+    for dim, n in lengths.orderBy(F.desc("count"), "dim").limit(MAX_CELLS).collect():
+        k = min(left, n // PER_CELL)
+        if k < 2:
+            break
+        size = max(2, min(k * SAMPLE, TRAIN_VALUES // dim))
+        some = distinct.where(F.size("embedding") == dim).orderBy(F.xxhash64("id"), "id").limit(size)
+        out[dim] = train(_unit([r[0] for r in some.select("embedding").collect()]), n, least, k)
+        left -= k
+    return out
+
+
+def compare(scratch: Scratch, distinct: DataFrame, least: float) -> DataFrame:
+    """Links of ``distinct`` (id, copies, embedding): rows (id, n links, other null), (id, 0, other: an id linked to it), (null, pairs compared, null)."""
+    model = models(distinct, least)
+    dealt = scratch.keep(distinct.mapInArrow(tidied(_ship(model)), "g long, own boolean, id long, copies long, v binary"), "cells")
+    load = F.octet_length("v") / 8.0
+    size = dealt.where("own").groupBy("g").agg(F.ceil(F.sum(load) / BLOCK_VALUES).cast("long").alias("nt"))
+    sized = dealt.join(bounded(scratch.keep(size, "sizes")), "g")
+    targets = sized.where("own").select("g", F.pmod(F.xxhash64("id"), F.col("nt")).alias("tb"), "id", "copies", "v")
+    queries = sized.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nt") - 1)).alias("tb"), "own", "id", "copies", "v")
+    met = meet(scratch, queries, targets, _products(model, least), "id long, n long, other long", BLOCK_VALUES, load)
+    return scratch.keep(met, "found")
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """Per row of ``vectors`` (vec_id long, embedding array<float or double>): n_links, component_id, kept.
 
     Vectors link if their cosine, in double precision, is at least ``least``. All rows are compared: equal vectors are one
-    with a number of copies; a bounded sample (``TRAIN_VALUES`` components by id hash) trains the cells, and each
-    vector is compared with all of its cell and of every cell where geometry allows a link, so none is missed.
-    Cells are cut in blocks and each product is of two blocks: no cell, however large, is one task. Tasks
-    return counts and spanning edges, never pairs. kept marks the smallest vec_id of each group.
+    with a number of copies. A bounded sample trains the cells (``models``); vectors of two cells are compared unless geometry rules a link out
+    (``Cells``), so none is missed. Cells travel in groups of neighbours, cut in blocks; a task takes the products of two blocks, cell by cell: no
+    cell, however large, is one task. Tasks return counts and spanning edges, never pairs. kept marks the smallest vec_id of each group.
 
     Null, empty and zero vectors and such with null or non-finite components link with nothing. Vectors of different
-    lengths do not link. Repeated rows are other vectors, linked with each other. An empty table gives no rows. Other
-    columns are ignored.
+    lengths do not link. Every row is a vector of its own: rows of one vec_id are linked by their vectors only. component_id is the smallest vec_id among
+    the rows that links reach, itself included; a null vec_id takes part and is never the smallest (component_id and kept are null if all are null, kept is
+    null for a null vec_id). An empty table gives no rows. Other columns are ignored.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embeddings")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     usable = F.coalesce(~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("usable", usable)
-    distinct = rows.where("usable").groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
-    distinct = scratch.keep(distinct, "distinct")
-    dims = distinct.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count")).limit(16).collect()
-    model = {}
-    for dim, n in dims:
-        k = min(MAX_CELLS, n // PER_CELL, _CELLS)
-        if k >= 2:
-            some = distinct.where(F.size("embedding") == dim).orderBy(F.xxhash64("id"), "id").limit(max(k, TRAIN_VALUES // dim))
-            x = np.array([r[0] for r in some.select("embedding").collect()], dtype=np.float64)
-            model[dim] = centroids(x / np.linalg.norm(x, axis=1, keepdims=True), k)
-    dealt = distinct.mapInArrow(_assign(model, least), "g long, home boolean, id long, copies long, v binary")
-    dealt = scratch.keep(dealt, "cells")
-    size = dealt.where("home").groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("nt"))
-    size = F.broadcast(scratch.keep(size, "sizes"))  # at most MAX_CELLS rows for each of 16 lengths, and one for each other length
-    sized = dealt.join(size, "g")
-    targets = sized.where("home").select("g", F.pmod(F.xxhash64("id"), F.col("nt")).alias("tb"), "id", "copies", "v")
-    queries = sized.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nt") - 1)).alias("tb"), "home", "id", "copies", "v")
-    found = scratch.keep(meet(scratch, queries, targets, _products(least), "id long, n long, other long", BLOCK), "found")
+    rows = rows.withColumn("usable", usable).withColumn("k1", F.xxhash64("embedding")).withColumn("k2", F.xxhash64(F.lit("veduta"), "embedding"))
+    same = ["k1", "k2"]
+    distinct = rows.where("usable").groupBy(*same).agg(F.first("embedding").alias("embedding"), F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    # ``id`` numbers the distinct vectors. It is made once and read back.
+    distinct = scratch.keep(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")
+    found = compare(scratch, distinct, least).where("id IS NOT NULL")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     group = components(scratch, found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    named = distinct.join(counts, "id", "left").join(group, "id", "left").select(
-        "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id")
-    )
-    linked = rows.where("usable").join(named, "embedding").select("vec_id", "n_links", "component_id")
+    named = distinct.select("id", *same, "copies", "least").join(counts, "id", "left").join(group, "id", "left")
+    named = named.withColumn("root", F.coalesce("root", "id"))
+    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = named.join(smallest, "root").select(*same, (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    linked = rows.where("usable").select("vec_id", *same).join(scratch.keep(named, "named"), same).select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
 def op1_embeddings(spark, sf_dir: str) -> DataFrame:
+    """Cosine of 0.95 or more over all vectors: vec_id, n_links, component_id, kept."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
@@ -165,11 +248,11 @@ SQL = """
 WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 u AS MATERIALIZED (SELECT rid, vec_id, e::DOUBLE[64] AS e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
   WHERE e IS NOT NULL AND len(e) = 64 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: x * x)) > 0),
-l AS MATERIALIZED (SELECT a.rid AS a, b.rid AS b, a.vec_id AS va, b.vec_id AS vb FROM u a JOIN u b ON a.rid <> b.rid AND array_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+l AS MATERIALIZED (SELECT a.rid AS a, b.rid AS b, b.vec_id AS vb FROM u a JOIN u b ON a.rid <> b.rid AND array_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
 n AS (SELECT a AS rid, count(*) AS n FROM l GROUP BY a),
-reach(a, b) AS (SELECT va, vb FROM l UNION SELECT reach.a, l.vb FROM reach JOIN l ON reach.b = l.va),
-m AS (SELECT a AS vec_id, min(b) AS root FROM reach GROUP BY a)
+reach(a, b, vb) AS (SELECT a, b, vb FROM l UNION SELECT reach.a, l.b, l.vb FROM reach JOIN l ON reach.b = l.a),
+m AS (SELECT a AS rid, min(vb) AS root FROM reach GROUP BY a)
 SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(v.vec_id, coalesce(m.root, v.vec_id)) AS component_id,
   v.vec_id = least(v.vec_id, coalesce(m.root, v.vec_id)) AS kept
-FROM v LEFT JOIN n USING (rid) LEFT JOIN m ON m.vec_id = v.vec_id
+FROM v LEFT JOIN n USING (rid) LEFT JOIN m USING (rid)
 """
