@@ -30,14 +30,25 @@ def _iban_pattern() -> str:
     return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{codes}|{other})(?![A-Za-z0-9])"
 
 
+#: Calling codes of one and of two digits; all others have three.
+ONE_DIGIT_CODES = "1 7"
+TWO_DIGIT_CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+_MONTH = "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
 #: What counts as a personal value. Each alternative is one kind, tried in this order.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "iban": _iban_pattern(),
-    "date": r"(?<![0-9.])(?:19|20)[0-9]{2}([-/.])[0-9]{2}\1[0-9]{2}(?![0-9])|(?<![0-9.])[0-9]{2}([-/.])[0-9]{2}\2(?:19|20)[0-9]{2}(?![0-9])",
+    "date": (
+        r"(?<![0-9.])(?:19|20)[0-9]{2}([-/.])[0-9]{2}\1[0-9]{2}(?![0-9])"
+        r"|(?<![0-9./-])[0-9]{1,2}([-/.])[0-9]{1,2}\2(?:19|20)[0-9]{2}(?![0-9])"
+        rf"|(?<![0-9.])[0-9]{{1,2}} (?:{_MONTH}) (?:19|20)[0-9]{{2}}(?![0-9])"
+    ),
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,5}\)[ .-]?)?[0-9]{1,5}(?:[ .-]?[0-9]{2,5}){1,4}|\([0-9]{2,5}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])",
+    "phone": (
+        r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,5}\)[ .-]?)?[0-9]{1,5}(?:[ .-]?[0-9]{2,5}){1,4}"
+        r"|\([0-9]{2,5}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|0[0-9]{2,4}[ -][0-9]{3,4}[ -][0-9]{3,4})(?![0-9A-Za-z])"
+    ),
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
 }
 KINDS = list(PATTERNS)
@@ -57,24 +68,27 @@ def _prf(key: str, label: str, value: Column, modulus: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % modulus
 
 
-def _feistel(left: Column, right: Column, m_left: Column, m_right: Column, label: str, key: str, tweak: Column) -> Column:
-    """A Feistel network on Z_a x Z_b: a bijection for any round function, halves updated in turn.
+def _feistel(left: Column, right: Column, m_left: Column, m_right: Column, label: str, key: str, tweak: Column, back: bool = False) -> Column:
+    """A Feistel network on Z_a x Z_b: a bijection for any round function, halves updated in turn. ``back`` runs it backwards.
 
     Its state runs through ``aggregate`` over the rounds, so the expression stays one round long.
     """
+    move = (lambda x, r, m: F.pmod(x - r, m)) if back else (lambda x, r, m: (x + r) % m)
+
     def step(acc, i):
         seed = F.concat(i.cast("string"), F.lit("|"), tweak, F.lit("|"))
         even = i % 2 == 0
         r = F.concat(seed, F.when(even, acc["r"]).otherwise(acc["l"]).cast("string"))
-        return F.when(
-            even, F.struct(((acc["l"] + _prf(key, label, r, m_left)) % m_left).alias("l"), acc["r"].alias("r"))
-        ).otherwise(F.struct(acc["l"].alias("l"), ((acc["r"] + _prf(key, label, r, m_right)) % m_right).alias("r")))
+        return F.when(even, F.struct(move(acc["l"], _prf(key, label, r, m_left), m_left).alias("l"), acc["r"].alias("r"))).otherwise(
+            F.struct(acc["l"].alias("l"), move(acc["r"], _prf(key, label, r, m_right), m_right).alias("r"))
+        )
 
     start = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
-    return F.aggregate(F.array(*[F.lit(i) for i in range(ROUNDS)]), start, step)
+    rounds = range(ROUNDS)[::-1] if back else range(ROUNDS)
+    return F.aggregate(F.array(*[F.lit(i) for i in rounds]), start, step)
 
 
-def permute_digits(digits: Column, label: str, key: str = KEY) -> Column:
+def permute_digits(digits: Column, label: str, key: str = KEY, back: bool = False) -> Column:
     """Keyed permutation of digit strings of one length (1 to 34 digits) onto themselves; length is the tweak."""
     size = lambda k: F.rpad(F.lit("1"), k + 1, "0").cast("long")
     text = lambda x, k: F.lpad(x.cast("string"), k, "0")
@@ -84,7 +98,7 @@ def permute_digits(digits: Column, label: str, key: str = KEY) -> Column:
         u = F.floor(n / 2).cast("int")
         left = F.coalesce(F.substring(d, F.lit(1), u).try_cast("long"), F.lit(0))
         right = F.substring(d, u + 1, n - u).cast("long")
-        moved = _feistel(left, right, size(u), size(n - u), label, key, n.cast("string"))
+        moved = _feistel(left, right, size(u), size(n - u), label, key, n.cast("string"), back)
         return let(moved, lambda x: F.concat(F.when(u > 0, text(x["l"], u)).otherwise(F.lit("")), text(x["r"], n - u)))
 
     return let(digits, body)
@@ -113,50 +127,121 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(at, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) % 10
 
 
-def _card(value: Column, key: str) -> Column:
+def _card(value: Column, key: str, back: bool) -> Column:
     """Permute all but the last digit, which then moves so that the Luhn sum stays what it was."""
     def body(d):
-        moved = permute_digits(F.substring(d, F.lit(1), F.length(d) - 1), "card", key)
+        moved = permute_digits(F.substring(d, F.lit(1), F.length(d) - 1), "card", key, back)
         return let(moved, lambda m: F.concat(m, ((luhn_sum(d) - luhn_sum(F.concat(m, F.lit("0"))) + 20) % 10).cast("string")))
 
     return _refill(value, let(F.regexp_replace(value, "[^0-9]", ""), body))
 
 
-def _ip(value: Column, key: str) -> Column:
+def _ip(value: Column, key: str, back: bool) -> Column:
     octets = F.transform(F.split(value, r"\."), lambda x: x.try_cast("long"))
     left, right = octets[0] * 256 + octets[1], octets[2] * 256 + octets[3]
-    moved = _feistel(left, right, F.lit(65536), F.lit(65536), "ip", key, F.lit("v4"))
+    moved = _feistel(left, right, F.lit(65536), F.lit(65536), "ip", key, F.lit("v4"), back)
     return let(moved, lambda x: F.concat_ws(".", F.floor(x["l"] / 256), x["l"] % 256, F.floor(x["r"] / 256), x["r"] % 256))
 
 
+def _ssn_parts(value: Column) -> list[Column]:
+    return [F.split_part(value, F.lit("-"), F.lit(i)).try_cast("long") for i in (1, 2, 3)]
+
+
+def _ssn(value: Column, key: str, back: bool) -> Column:
+    """Issued numbers onto issued numbers: 898 areas (001 to 899 but for 666), 99 groups, 9,999 serials."""
+    area, group, serial = _ssn_parts(value)
+    left, right = area - F.when(area > 666, 2).otherwise(1), (group - 1) * 9999 + serial - 1
+    moved = _feistel(left, right, F.lit(898), F.lit(99 * 9999), "ssn", key, F.lit("ssn"), back)
+
+    def text(x):
+        digits = lambda n, k: F.lpad(n.cast("string"), k, "0")
+        return F.concat_ws(
+            "-", digits(x["l"] + F.when(x["l"] >= 665, 2).otherwise(1), 3), digits(F.floor(x["r"] / 9999) + 1, 2), digits(x["r"] % 9999 + 1, 4)
+        )
+
+    return let(moved, text)
+
+
+def _phone(value: Column, key: str, back: bool) -> Column:
+    """All digits but those of the country's calling code, or of the leading 0, are permuted."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    one, two = ONE_DIGIT_CODES.split(), TWO_DIGIT_CODES.split()
+    size = F.when(F.left(digits, F.lit(1)).isin(one), 1).when(F.left(digits, F.lit(2)).isin(two), 2).otherwise(3)
+    kept = F.when(F.startswith(value, F.lit("+")), size).when(F.startswith(digits, F.lit("0")), 1).otherwise(0)
+
+    def body(d):
+        return let(
+            F.struct(d.alias("d"), kept.alias("n")),
+            lambda x: F.concat(
+                F.left(x["d"], x["n"]), permute_digits(F.substring(x["d"], x["n"] + 1, F.length(x["d"]) - x["n"]), "phone", key, back)
+            ),
+        )
+
+    return _refill(value, let(digits, body))
+
+
+#: What each notation of a date is called, and how it is written with "-" for its separator.
+_STYLES = {"ymd": "yyyy-MM-dd", "dmy": "dd-MM-yyyy", "mdy": "MM-dd-yyyy", "short_dmy": "d-M-yyyy", "short_mdy": "M-d-yyyy", "named": "d MMM yyyy", "long": "d MMMM yyyy"}
+
+
 def _date_parts(value: Column) -> Column:
-    """The value as yyyy-MM-dd, or null if it is no day from 1900 to 2099. Ambiguous dd/MM and MM/dd read as dd/MM if that is a day."""
-    sep = F.when(value.rlike("^[0-9]{4}"), F.substring(value, 5, 1)).otherwise(F.substring(value, 3, 1))
+    """The value's separator, notation and day; the day is null if it is none from 1900 to 2099. What can be read both ways is read dd/MM."""
+    year_first, named = value.rlike("^[0-9]{4}"), value.contains(" ")
+    sep = F.when(named, F.lit("")).when(year_first, F.substring(value, 5, 1)).otherwise(F.regexp_extract(value, "[-/.]", 0))
     v = F.translate(value, "/.", "--")
-    iso = F.when(value.rlike("^[0-9]{4}"), v).otherwise(F.concat(F.substring(v, 7, 4), F.lit("-"), F.substring(v, 4, 2), F.lit("-"), F.substring(v, 1, 2)))
-    us = F.concat(F.substring(v, 7, 4), F.lit("-"), F.substring(v, 1, 2), F.lit("-"), F.substring(v, 4, 2))
-    style = F.when(value.rlike("^[0-9]{4}"), F.lit("ymd")).otherwise(F.lit("dmy"))
-    day = F.try_to_date(iso, "yyyy-MM-dd")
-    alt = F.try_to_date(us, "yyyy-MM-dd")
-    return F.struct(sep.alias("sep"), F.when(day.isNull(), F.lit("mdy")).otherwise(style).alias("style"), F.coalesce(day, F.when(~value.rlike("^[0-9]{4}"), alt)).alias("day"))
+    short = ~year_first & (F.length(value) < 10)
+    parse = lambda style: F.try_to_date(v, _STYLES[style])
+    month = F.split_part(value, F.lit(" "), F.lit(2))
+    spelled = F.concat_ws(" ", F.split_part(value, F.lit(" "), F.lit(1)), F.left(month, F.lit(3)), F.split_part(value, F.lit(" "), F.lit(3)))
+    words = F.try_to_date(spelled, _STYLES["named"])
+    dmy, mdy = parse("short_dmy"), parse("short_mdy")
+    style = (
+        F.when(named, F.when(F.length(month) > 3, F.lit("long")).otherwise(F.lit("named")))
+        .when(year_first, F.lit("ymd"))
+        .when(dmy.isNotNull(), F.when(short, F.lit("short_dmy")).otherwise(F.lit("dmy")))
+        .otherwise(F.when(short, F.lit("short_mdy")).otherwise(F.lit("mdy")))
+    )
+    day = F.when(named, words).when(year_first, parse("ymd")).otherwise(F.coalesce(dmy, mdy))
+    return F.struct(sep.alias("sep"), style.alias("style"), day.alias("day"))
+
+
+#: Steps of a cycle walk. Four of ten days or fewer lie outside a notation, so that one walk in 10^24 would need more.
+WALK = 64
+
+
+def _own_day(day: Column, style: Column) -> Column:
+    """Whether a day written in the notation is read in that notation again."""
+    d, m = F.dayofmonth(day), F.month(day)
+    return (
+        F.when(style == "short_dmy", (d < 10) | (m < 10))
+        .when(style == "mdy", d > 12)
+        .when(style == "short_mdy", (d > 12) & (m < 10))
+        .when(style == "long", m != 5)
+        .otherwise(True)
+    )
 
 
-def _date(value: Column, key: str) -> Column:
-    """Another day from 1900 to 2099 in the same notation; days that two notations name stay linked by their notation."""
+def _date(value: Column, key: str, back: bool = False) -> Column:
+    """Another day from 1900 to 2099 in the same notation. The permutation is walked on until the day's writing is in that notation alone."""
     first, (a, b) = F.lit(FIRST_DAY).cast("date"), DAY_HALVES
+    move = lambda x: _feistel(x["l"], x["r"], F.lit(a), F.lit(b), "date", key, F.lit("day"), back)
+    day_of = lambda x: F.date_add(first, (x["l"] * b + x["r"]).cast("int"))
 
     def body(p):
         n = F.datediff(p["day"], first)
-        moved = _feistel(F.floor(n / b), n % b, F.lit(a), F.lit(b), "date", key, F.lit("day"))
-        day = let(moved, lambda x: F.date_add(first, (x["l"] * b + x["r"]).cast("int")))
-        text = F.when(p["style"] == "ymd", F.date_format(day, "yyyy-MM-dd")).when(p["style"] == "dmy", F.date_format(day, "dd-MM-yyyy")).otherwise(F.date_format(day, "MM-dd-yyyy"))
-        return F.coalesce(F.replace(text, F.lit("-"), p["sep"]), value)
+        start = move(F.struct(F.floor(n / b).alias("l"), (n % b).cast("long").alias("r")))
+        steps = F.array(*[F.lit(0)] * (WALK - 1))
+        walked = F.aggregate(steps, start, lambda acc, _: F.when(_own_day(day_of(acc), p["style"]), acc).otherwise(move(acc)))
+        moved = F.when(p["style"].isin("ymd", "dmy", "named"), start).otherwise(walked)
+        day = let(moved, day_of)
+        text = F.lit(None).cast("string")
+        for style, written in _STYLES.items():
+            text = F.when(p["style"] == style, F.date_format(day, written)).otherwise(text)
+        return F.coalesce(F.when(p["sep"] == "", text).otherwise(F.replace(text, F.lit("-"), p["sep"])), value)
 
     return let(_date_parts(value), body)
 
 
-
-
 def _email(value: Column, key: str) -> Column:
     """The local part becomes letters and digits of the same length, keyed; so does the domain but for its ending.
 
@@ -195,12 +280,12 @@ def _iban_ok(value: Column) -> Column:
     return rest == 1
 
 
-def _iban(value: Column, key: str) -> Column:
+def _iban(value: Column, key: str, back: bool) -> Column:
     """Permute the account's digits, keep its letters and country, and set the two check digits anew."""
     v = F.regexp_replace(value, " ", "")
     account = F.substring(v, F.lit(5), F.length(v))
     digits = F.regexp_replace(account, "[^0-9]", "")
-    moved = F.when(F.length(digits) > 0, _refill(account, permute_digits(digits, "iban", key))).otherwise(account)
+    moved = F.when(F.length(digits) > 0, _refill(account, permute_digits(digits, "iban", key, back))).otherwise(account)
     turned = F.concat(moved, F.substring(v, 1, 2), F.lit("00"))
     code = F.transform(F.split(turned, ""), lambda c: F.when(c.rlike("^[0-9]$"), c.cast("int")).when(c.rlike("^[A-Z]$"), F.ascii(c) - 55))
     rest = F.aggregate(code, F.lit(0), lambda a, x: F.when(x.isNull(), a).when(x > 9, (a * 100 + x) % 97).otherwise((a * 10 + x) % 97))
@@ -209,47 +294,46 @@ def _iban(value: Column, key: str) -> Column:
     return F.when(F.instr(value, " ") > 0, spaced).otherwise(compact)
 
 
-def _plain(value: Column, label: str, key: str) -> Column:
-    digits = F.regexp_replace(value, "[^0-9]", "")
-    return _refill(value, permute_digits(digits, label, key))
-
-
 def kind_of(value: Column) -> Column:
     """The validated kind of one matched piece, or null if it only looks like one."""
     whole = lambda k: value.rlike("^(?:" + PATTERNS[k] + ")$")
-    octets = F.forall(F.split(value, r"\."), lambda x: F.length(x) <= 3) & F.forall(F.split(value, r"\."), lambda x: x.cast("int") <= 255)
-    n_digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
+    octets = F.forall(F.split(value, r"\."), lambda x: x.try_cast("int") <= 255)
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    area, group, serial = _ssn_parts(value)
+    issued = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    day = F.year(_date_parts(value)["day"]).between(1900, 2099)
     return (
         F.when(whole("email"), F.lit("email"))
         .when(whole("iban") & _iban_ok(value), F.lit("iban"))
-        .when(whole("date") & _date_parts(value)["day"].isNotNull(), F.lit("date"))
+        .when(whole("date") & day, F.lit("date"))
         .when(whole("ip") & octets, F.lit("ip"))
-        .when(whole("ssn"), F.lit("ssn"))
-        .when(whole("phone") & n_digits.between(7, 15), F.lit("phone"))
-        .when(whole("card"), F.lit("card"))
+        .when(whole("ssn") & issued, F.lit("ssn"))
+        .when(whole("phone") & F.length(digits).between(7, 15), F.lit("phone"))
+        .when(whole("card") & (luhn_sum(digits) == 0), F.lit("card"))
     )
 
 
-def pseudonym(value: Column, kind: Column, key: str = KEY) -> Column:
-    """The pseudonym of a validated value of its kind: same format, equal for equal values."""
+def pseudonym(value: Column, kind: Column, key: str = KEY, back: bool = False) -> Column:
+    """The pseudonym of a validated value of its kind: same format, equal for equal values. ``back`` gives the value of a pseudonym (but for e-mail)."""
     return (
-        F.when(kind == "email", _email(value, key))
-        .when(kind == "iban", _iban(value, key))
-        .when(kind == "date", _date(value, key))
-        .when(kind == "ip", _ip(value, key))
-        .when(kind == "ssn", _plain(value, "ssn", key))
-        .when(kind == "phone", _plain(value, "phone", key))
-        .when(kind == "card", _card(value, key))
+        F.when(kind == "email", value if back else _email(value, key))
+        .when(kind == "iban", _iban(value, key, back))
+        .when(kind == "date", _date(value, key, back))
+        .when(kind == "ip", _ip(value, key, back))
+        .when(kind == "ssn", _ssn(value, key, back))
+        .when(kind == "phone", _phone(value, key, back))
+        .when(kind == "card", _card(value, key, back))
         .otherwise(value)
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str = KEY, back: bool = False) -> DataFrame:
     """Replace personal values in ``text`` of (doc_id, text, ...), all other columns kept, ``n_pii`` (int) added.
 
     Candidates are cut out of the whole text by one pattern (its matches, and the gaps between them); each is
-    checked (Luhn class kept for card numbers, mod 97 for IBANs, calendar for dates, 0-255 for addresses,
-    7 to 15 digits for phones) and permuted within its format. Row by row: no shuffle, any length of text.
+    checked (Luhn for card numbers, mod 97 for IBANs, calendar for dates, 0-255 for addresses, issued areas for SSNs,
+    7 to 15 digits for phones) and permuted within its format, onto a value that passes the same check. With ``back`` the
+    permutations run backwards: numbers and dates get their values again, e-mail addresses stay as they are. Row by row: no shuffle, any length of text.
 
     Null text: null, n_pii 0. Empty text: empty, 0. What fails its check stays as it is. Repeated rows give
     repeated results; a column of the input named ``n_pii`` is replaced. An empty table gives no rows.
@@ -263,7 +347,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     gaps = by(lambda p: F.split(text, p, -1))
 
     def replaced(x):
-        return let(kind_of(x), lambda k: F.struct(F.coalesce(pseudonym(x, k, key), x).alias("t"), k.isNotNull().cast("int").alias("k")))
+        return let(kind_of(x), lambda k: F.struct(F.coalesce(pseudonym(x, k, key, back), x).alias("t"), k.isNotNull().cast("int").alias("k")))
 
     # Texts without a digit or "@" hold no candidate; the others are cut into gaps and candidates in turn.
     done = docs.withColumn("_found", F.when(text.rlike("[0-9@]"), F.transform(found, replaced)))
@@ -274,4 +358,5 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:
+    """Every document with its personal values replaced: doc_id, text, n_pii."""
     return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
