@@ -29,12 +29,22 @@ RAW = frozenset("script style textarea title noscript iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Words in class names and ids that mark page furniture: as a whole name, before a hyphen and after one; after a hyphen only; with a
+#: part of the site before them.
+_FURNITURE = (
+    "nav navbar navigation menu menubar sidebar side-bar footer foot masthead topbar top-bar ad ads adv advert adverts advertisement sponsor sponsored sponsors "
+    "promo promos banner banners cookie cookies consent gdpr popup modal overlay comment comments disqus respond replies related recommended recommendations "
+    "share sharing social subscribe newsletter signup login breadcrumb breadcrumbs widget widgets pagination pager toolbar searchbox"
+).replace(" ", "|")
+_FURNITURE_END = "notice|notices|alert|alerts|reply|tags|byline|meta|copyright|legal|search|form|links"
+_SITE = "site|page|main|global|top|app|blog"
 NEGATIVE = re.compile(
-    r"(?i)(?:^|[-_ ])(?:nav\w*|menu\w*|side-?bar\w*|foot\w*|head|header\w*|masthead|top-?bar|ads?|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?\w*|consent|gdpr|notices?|alert|"
-    r"popup|modal|overlay|comments?\w*|disqus|respond|replies|reply|related\w*|recommend\w*|share\w*|sharing|social\w*|subscribe\w*|newsletter\w*|signup|login|breadcrumbs?|widget\w*|"
-    r"pagination|pager|toolbar|tags|byline|meta|copyright|legal|search\w*|form)(?:$|[-_ ])"
+    rf"(?i)(?:^|\s)(?:(?:[\w]+[-_])*(?:{_FURNITURE})(?:[-_][\w-]*)?|(?:[\w]+[-_])*(?:{_FURNITURE_END})|(?:(?:{_SITE})[-_])?(?:header|head)(?:[-_](?:inner|wrap\w*|bar|top))?)(?=\s|$)"
 )
-POSITIVE = re.compile(r"(?i)(?:^|[-_ ])(?:article\w*|content|main\w*|post|post-?body|story\w*|entry\w*|body\w*|text|prose|page-?content|article-?text)(?:$|[-_ ])")
+POSITIVE = re.compile(
+    r"(?i)(?:^|[-_\s])(?:article\w*|content|main\w*|post|post-?body|story\w*|entry\w*|body\w*|text|prose|page-?content|article-?text)(?:$|[-_\s])"
+)
+COPYRIGHT = re.compile(r"(?i)^\s*(?:\u00a9|\(c\)|copyright\b)|all rights reserved")
 ROLE_NEGATIVE = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar form".split())
 GROUPS = {
     "p": "p", "h1": "h1", "h2": "h", "h3": "h", "h4": "h", "h5": "h", "h6": "h", "li": "li", "ul": "list", "ol": "list", "dl": "list", "dt": "li", "dd": "li",
@@ -44,7 +54,7 @@ GROUPS = {
 }
 FEATURES = [
     "bias", *sorted(set(GROUPS.values())), "other", "negative", "positive", "role_negative", "hidden", "own_text", "words10", "words40", "links_most", "links_some",
-    "sentence", "below_most", "below_links", "below_prose",
+    "sentence", "below_most", "below_links", "below_prose", "heart", "round_heart", "copyright", "lead",
 ]
 _AT = {f: i for i, f in enumerate(FEATURES)}
 #: Pair weights by the child's kind (plain, marked as page furniture, marked as content): both content, both not.
@@ -83,7 +93,7 @@ class Page:
         stack = [("html", 0)]  # open elements with their block
         links = 0
         text_len, link_len = [0], [0]
-        words, sentence = [0], [False]
+        words, sentence, owned = [0], [False], [False]
         pos, end, find = 0, len(source), source.find
         dead: set[int] = set()
 
@@ -100,6 +110,7 @@ class Page:
                 text_len[node] += size
                 if links:
                     link_len[node] += size
+                owned[node] = owned[node] or COPYRIGHT.search(t) is not None
                 if not sentence[node] and (". " in t or t.rstrip().endswith((".", "!", "?")) or ", " in t):
                     sentence[node] = True
 
@@ -148,7 +159,8 @@ class Page:
                         break  # an inline end tag does not close blocks
                 continue
             if name in RAW or name in DROPPED:
-                if not attrs.endswith("/"):
+                # Browsers pass over the slash of raw elements: what follows is theirs up to their end tag.
+                if name in RAW or not attrs.endswith("/"):
                     stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(source, pos)
                     if stop is None and name not in RAW:
                         continue
@@ -211,13 +223,27 @@ class Page:
             tags.append(name)
             marks.append((mark, role, hidden))
             self.labels.append(self.labels[parent] if label is None else label)
-            for column, empty in ((text_len, 0), (link_len, 0), (words, 0), (sentence, False)):
+            for column, empty in ((text_len, 0), (link_len, 0), (words, 0), (sentence, False), (owned, False)):
                 column.append(empty)
             links += name == "a"
             stack.append((name, node))
-        self._describe(tags, marks, text_len, link_len, words, sentence)
-
-    def _describe(self, tags, marks, text_len, link_len, words, sentence) -> None:
+        self._describe(tags, marks, text_len, link_len, words, sentence, owned)
+
+    def _heart(self, prose: list[int]) -> list[int]:
+        """Per node 1 inside the lowest block that holds three fifths of the page's prose, 2 around it, 0 elsewhere."""
+        n, at = len(prose), 0
+        for i in range(1, n):
+            if self.parents[i] == at and prose[i] * 5 >= prose[0] * 3 > 0:
+                at = i
+        out = [0] * n
+        for i in range(at, n):
+            out[i] = 1 if i == at or out[self.parents[i]] == 1 and self.parents[i] >= at else 0
+        while at > 0:
+            at = self.parents[at]
+            out[at] = 2
+        return out
+
+    def _describe(self, tags, marks, text_len, link_len, words, sentence, owned) -> None:
         n = len(tags)
         below, below_link, prose = text_len[:], link_len[:], [w if s and w >= 10 else 0 for w, s in zip(words, sentence, strict=True)]
         below_words = words[:]
@@ -227,8 +253,9 @@ class Page:
             below_link[p] += below_link[i]
             prose[p] += prose[i]
             below_words[p] += below_words[i]
-        total, at = max(below[0], 1), _AT
+        total, at, heart = max(below[0], 1), _AT, self._heart(prose)
         self.kinds, self.features = [0] * n, []
+        inside = [False] * n  # below an article, or below furniture
         for i, (tag, (mark, role, hidden)) in enumerate(zip(tags, marks, strict=True)):
             group = GROUPS.get(tag, "other") if i else "body"
             f = [0, at[group]]
@@ -260,6 +287,14 @@ class Page:
                 f.append(at["below_links"])
             if prose[i] * 2 > below_words[i]:
                 f.append(at["below_prose"])
+            if heart[i]:
+                f.append(at["heart" if heart[i] == 1 else "round_heart"])
+            if owned[i]:
+                f.append(at["copyright"])
+            p = self.parents[i]
+            inside[i] = i > 0 and (inside[p] or self.kinds[p] == 1 or tags[p] in ("article", "main"))
+            if group in ("article", "main") and not inside[i]:
+                f.append(at["lead"])
             self.features.append(f)
             if negative or hidden or role in ROLE_NEGATIVE or group in ("nav", "aside", "footer", "form"):
                 self.kinds[i] = 1
@@ -398,26 +433,31 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[str]:
     out = []
     for i in range(n):
         blocks = [content_block() for _ in range(r.randint(1, 9))]
-        if r.random() < 0.2:  # a page with hardly any text
+        if r.random() < 0.3:  # a page with hardly any text
             blocks = [f"<p>{pick([sentence(), words(1, 5), words(3, 8) + '.'])}" + pick(["</p>", ""]) for _ in range(r.randint(1, 2))]
         for _ in range(r.choice([0, 0, 1, 2])):
             blocks.insert(r.randint(0, len(blocks)), furniture(inside=True))
         if r.random() < 0.25:
             blocks.append(comments(True))
         title = f"<h1>{words(2, 8)}</h1>"
-        title = pick([title, title, title, "", f"<header>{title}</header>"])
+        title = pick([title, title, title, "", f"<header>{title}</header>", f'<header class="{pick(["post", "entry", "article"])}-header">{title}</header>'])
         inner = title + "".join(blocks)
         body = tagged([("article", ""), ("article", ""), ("main", ""), ("div", 'class="content"'), ("div", 'id="main"'), ("div", 'class="post"'), ("div", 'class="entry-content"'), ("section", 'class="story"'), ("div", ""), ("div", 'class="article-body"')], inner, ' data-y="1"')
         if r.random() < 0.3:
             body = tagged([("main", ""), ("div", 'id="content"'), ("div", 'class="wrapper"'), ("section", "")], body, ' data-y="1"')
         before = [tagged([("nav", ""), ("nav", 'class="menu"'), ("ul", 'class="nav"'), ("div", 'id="menu"'), ("div", "")], links())]
         if r.random() < 0.5:
-            before.insert(0, tagged([("header", ""), ("div", 'class="header"'), ("div", 'id="masthead"'), ("div", 'role="banner"')], f"<h1>{words(1, 3)}</h1>" + pick(["", f"<p>{sentence()}</p>", links("flat")])))
+            before.insert(0, tagged([("header", ""), ("div", 'class="header"'), ("div", 'id="masthead"'), ("div", 'role="banner"'), ("header", 'class="site-header"'), ("div", "")], f"<h1>{words(1, 3)}</h1>" + pick(["", f"<p>{sentence()}</p>", links("flat")])))
         before += [furniture() for _ in range(r.choice([0, 1, 1, 2]))]
         after = [furniture() for _ in range(r.choice([0, 0, 1, 2]))]
         if r.random() < 0.35:
             after.insert(0, comments(False))
-        after.append(tagged([("footer", ""), ("div", 'id="footer"'), ("div", 'class="footer"'), ("div", 'role="contentinfo"')], pick([f"<p>{sentence()}</p>", words(2, 6), links("flat") + sentence(), f"<p>{prose()}</p>"])))
+        owner = pick(["&copy; ", "\u00a9 2024 ", "Copyright 2023 ", "(c) "]) + words(1, 3)
+        if r.random() < 0.25:  # nothing but the sign, the links or the place tells
+            after.append(tagged([("div", ""), ("p", "")], pick([owner, owner + ". All rights reserved.", f"{owner} {links('flat')}", links("flat")])))
+        else:
+            marked = [("footer", ""), ("div", 'id="footer"'), ("div", 'class="footer"'), ("div", 'role="contentinfo"')]
+            after.append(tagged(marked, pick([f"<p>{sentence()}</p>", words(2, 6), links("flat") + sentence(), f"<p>{prose()}</p>", f"{owner} {sentence()}"])))
         page = "".join([*before, body, *after])
         if r.random() < 0.3:
             page = f"<div{pick(['', ' id=page', ' class=container'])} data-y=\"1\">" + "".join(x.replace(">", ' data-y="0">', 1) for x in before) + body + "".join(x.replace(">", ' data-y="0">', 1) for x in after) + "</div>"
