@@ -8,7 +8,6 @@ _NAMES = {
     "REGEX": ("regexp_like", "regexp_matches"),
     "B64": ("base64", "to_base64"),
     "SHA256": ("_sha_spark", "_sha_duck"),
-    "FLOAT4": ("float", "float"),
 }
 
 

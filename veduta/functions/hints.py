@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .hosts import let
+
 DAY, HOUR, WEEK = 86_400, 3_600, 604_800
 
 
 def parse_directives(cc: Column) -> Column:
     """Fold Cache-Control left to right: s-maxage overwrites, max-age only fills, what cannot be read is passed over."""
-    item = F.transform(F.split(F.lower(F.coalesce(cc, F.lit(""))), ","), F.trim)
+    item = F.transform(F.split(F.lower(F.coalesce(cc, F.lit(""))), ","), lambda x: F.trim(x))
     start = F.struct(
         F.lit(None).cast("long").alias("age"), F.lit(None).cast("long").alias("swr"), F.lit(False).alias("immutable"),
         F.lit(False).alias("no_store"), F.lit(False).alias("private"),
@@ -35,15 +37,17 @@ def expires_at(now: int, max_age: Column, age: Column) -> Column:
 
 def from_headers(headers: Column, now: int) -> Column:
     """Hints of a response's lower-case header map, or null if it has none. An empty etag still hides last-modified."""
-    d = parse_directives(headers["cache-control"])
-    etag = F.trim(headers["etag"])
-    modified = F.when(headers["etag"].isNull(), headers["last-modified"])
-    out = F.struct(
-        F.when(d["age"].isNotNull(), expires_at(now, d["age"], headers["age"].try_cast("long"))).alias("expires_at"), d["swr"].alias("stale_while_revalidate"),
-        d["immutable"].alias("immutable"), F.nullif(etag, F.lit("")).alias("etag"), modified.alias("last_modified"), d["no_store"].alias("no_store"), d["private"].alias("private"),
-    )
-    known = d["age"].isNotNull() | d["swr"].isNotNull() | d["immutable"] | d["no_store"] | d["private"] | (F.coalesce(etag, F.lit("")) != "") | modified.isNotNull()
-    return F.when(known, out)
+    def made(d: Column) -> Column:
+        etag = F.trim(headers["etag"])
+        modified = F.when(headers["etag"].isNull(), headers["last-modified"])
+        out = F.struct(
+            F.when(d["age"].isNotNull(), expires_at(now, d["age"], headers["age"].try_cast("long"))).alias("expires_at"), d["swr"].alias("stale_while_revalidate"),
+            d["immutable"].alias("immutable"), F.nullif(etag, F.lit("")).alias("etag"), modified.alias("last_modified"), d["no_store"].alias("no_store"), d["private"].alias("private"),
+        )
+        known = d["age"].isNotNull() | d["swr"].isNotNull() | d["immutable"] | d["no_store"] | d["private"] | (F.coalesce(etag, F.lit("")) != "") | modified.isNotNull()
+        return F.when(known, out)
+
+    return let(parse_directives(headers["cache-control"]), made)
 
 
 def conditional(hints: Column) -> Column:
@@ -74,6 +78,10 @@ def _field(text: Column) -> Column:
 
 def encode(hints: Column, default_ttl: int, now: int) -> Column:
     """The token hex_epoch:base64url(blob); empty for what must not be stored."""
+    return let(hints, lambda h: _encode(h, default_ttl, now))
+
+
+def _encode(hints: Column, default_ttl: int, now: int) -> Column:
     validator = hints["etag"].isNotNull() | hints["last_modified"].isNotNull()
     epoch = F.coalesce(hints["expires_at"], F.when(validator, F.lit(1)).otherwise(F.lit(now + default_ttl)))
     swr = F.when(hints["stale_while_revalidate"].isNotNull(), F.concat(F.lit("04"), F.lpad(F.hex(hints["stale_while_revalidate"]), 8, "0"))).otherwise(F.lit("00"))
@@ -89,6 +97,10 @@ def encode(hints: Column, default_ttl: int, now: int) -> Column:
 
 def decode(token: Column) -> Column:
     """Hints of a token, or null if it has no blob or bad shape. Fields cut off at the end take their defaults."""
+    return let(token, _decode)
+
+
+def _decode(token: Column) -> Column:
     ok = token.rlike("^[0-9a-f]{1,15}:[A-Za-z0-9_-]+$")
     blob = F.translate(F.split_part(token, F.lit(":"), F.lit(2)), "-_", "+/")
     pad = F.concat(blob, F.repeat(F.lit("="), F.pmod(-F.length(blob), F.lit(4)).cast("int")))
@@ -113,7 +125,7 @@ def decode(token: Column) -> Column:
 
         return F.transform(F.array(a), etag)[0]
 
-    return F.when(ok & (F.length(raw) > 0), F.transform(F.array(raw), body)[0])
+    return F.when(ok, let(raw, lambda h: F.when(F.length(h) > 0, body(h))))
 
 
 def content_hash(h: Column) -> Column:

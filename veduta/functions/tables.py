@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
 #: Formats by kind, tier, renderer and whether a cheap path exists.
 FORMATS = [
     ("image", 1, "image_crate", True, "png gif webp bmp tiff ico"),
@@ -99,8 +97,26 @@ application/vnd.ms-excel xls; application/vnd.ms-powerpoint ppt; application/epu
 model/gltf-binary glb; model/gltf+json gltf; model/obj obj; application/vnd.fbx fbx; model/vnd.collada+xml dae; model/stl stl;
 text/html html; text/xml xml; text/plain txt; text/csv csv; text/markdown md; application/json json
 """
-#: Extensions whose decoder stores every sample.
-LOSSLESS_AUDIO = "flac wav aiff"
+#: Media types by kind, beyond those that begin with image/, video/, audio/ and text/.
+MIME_DOCUMENT = (
+    "text/html application/xhtml+xml application/pdf application/msword application/vnd.openxmlformats-officedocument.wordprocessingml.document "
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet application/vnd.openxmlformats-officedocument.presentationml.presentation "
+    "application/vnd.oasis.opendocument.text application/vnd.oasis.opendocument.spreadsheet application/vnd.oasis.opendocument.presentation "
+    "application/vnd.ms-excel application/vnd.ms-powerpoint application/epub+zip application/rtf"
+)
+MIME_ARCHIVE = "application/zip application/x-tar application/gzip application/x-bzip2 application/x-xz application/vnd.rar application/x-7z-compressed"
+MIME_GEOMETRY = "model/vnd.usdz+zip model/gltf-binary model/gltf+json application/vnd.fbx model/vnd.collada+xml model/obj model/stl"
+#: Extensions by what a tier can do with them.
+TIER2_IMAGES = "jpeg jpg png webp bmp tiff tif gif ico psd avif heic heif dng cr2 nef arw orf rw2 pef srw raf 3fr fff iiq raw"
+RAW_PREVIEWS = "dng cr2 nef arw orf rw2 pef srw raf 3fr fff iiq raw"
+STUDIO_IMAGES = "exr sxr mxr hdr rgbe dpx cin dds fits iff pic rla zfile sgi rgb rgba bw int inta"
+LINEAR_IMAGES = "exr hdr rgbe sxr mxr"
+TONE_MAPPED = "stl obj"
+#: The order in which cheap ways to a thumbnail are tried, and the extensions each is for.
+SHORTCUTS = [
+    ("exif", "image", "jpeg tiff png"), ("webp_exif", "image", "webp"), ("small", "image", "jpeg png gif bmp tiff ico"), ("progressive", "image", "jpeg"),
+    ("raw", "image", "dng cr2 nef arw orf rw2 pef srw 3fr mef rwl"), ("zip", "document", "docx xlsx pptx odt ods odp"), ("pdf", "document", "pdf"), ("mp3", "audio", "mp3"),
+]
 #: Tier where no format of a kind is listed.
 DEFAULT_TIER = {"archive": 1, "text": 1, "binary": 1, "unknown": 1, "image": 1, "vector": 2, "video": 2, "audio": 2, "document": 2, "geometry": 3}
 
@@ -128,23 +144,3 @@ def mime_rows() -> list[tuple[str, str]]:
 
 def extension_rows() -> list[tuple[str, str]]:
     return _pairs(EXTENSION_OF)
-
-
-def formats(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(format_rows(), "kind string, tier int, renderer string, shortcut boolean, ext string")
-
-
-def aliases(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(alias_rows(), "spelling string, ext string")
-
-
-def kinds(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(kind_rows(), "ext string, kind string")
-
-
-def mimes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(mime_rows(), "ext string, mime string")
-
-
-def extensions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(extension_rows(), "mime string, ext string")

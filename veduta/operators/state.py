@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,21 +21,27 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suppressed(log: DataFrame, key: str, ttl: Column, records: Column | None = None) -> DataFrame:
     """Rows of (key, at, event_id) with ``fetched``: false while an earlier fetched, recorded row's ttl lasts.
 
-    What is suppressed does not extend the ttl, so this is no window function but a fold in time order over each key. The
-    fold's state is one number; rows of a key come as one array, so a key's log must fit a task.
+    What is suppressed does not extend the ttl, so this is no window function but a fold in time order over each key. Rows are dealt by key
+    and sorted by key and time, and one pass holds one number: a key of any number of rows takes constant memory (and one task).
     """
-    rows = log.withColumn("_ttl", ttl.cast("long")).withColumn("_rec", F.lit(True) if records is None else records)
-    one = F.array_sort(F.collect_list(F.struct("at", "event_id", "_ttl", "_rec")))
-    start = F.struct(F.lit(-(1 << 62)).cast("long").alias("until"), F.array().cast("array<struct<event_id:bigint,fetched:boolean>>").alias("out"))
-
-    def step(acc, x):
-        live = x["at"] >= acc["until"]
-        return F.struct(
-            F.when(live & x["_rec"], x["at"] + x["_ttl"]).otherwise(acc["until"]).alias("until"),
-            F.concat(acc["out"], F.array(F.struct(x["event_id"].alias("event_id"), live.alias("fetched")))).alias("out"),
-        )
-
-    return rows.groupBy(key).agg(F.aggregate(one, start, step)["out"].alias("o")).select(key, F.explode("o").alias("o")).select(key, "o.event_id", "o.fetched")
+    rows = log.select(key, "at", "event_id", ttl.cast("long").alias("_ttl"), (F.lit(True) if records is None else records).alias("_rec"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, until = object(), 0
+        for b in batches:
+            fetched = []
+            for k, at, lasts, recorded in zip(*(b.column(c).to_pylist() for c in (key, "at", "_ttl", "_rec")), strict=True):
+                if k != last:
+                    last, until = k, -(1 << 62)
+                live = at >= until
+                if live and recorded:
+                    until = at + lasts
+                fetched.append(live)
+            yield pa.RecordBatch.from_arrays([b.column(key), b.column("event_id"), pa.array(fetched, pa.bool_())], names=[key, "event_id", "fetched"])
+
+    kind = dict(rows.dtypes)[key]
+    dealt = rows.repartition(key).sortWithinPartitions(key, "at", "event_id")
+    return dealt.mapInArrow(run, f"{key} {kind}, event_id long, fetched boolean")
 
 
 def url_failure_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:

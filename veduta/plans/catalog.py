@@ -48,8 +48,6 @@ def text_for(engine: str, text: str, sf_dir: str = "") -> str:
 
 
 U, X = "url", urls.extension("url")
-#: Pages with extension and kind: a list lookup, then the default tier of the kind.
-_PAGE = f"SELECT page_id, url, {urls.alias(X)} AS ext FROM {{pages}}"
 _EXT_OF_ID = "CASE page_id % 12 WHEN 0 THEN 'png' WHEN 1 THEN 'jpg' WHEN 2 THEN 'pdf' WHEN 3 THEN 'mp4' WHEN 4 THEN 'stp' WHEN 5 THEN 'zip' WHEN 6 THEN 'svg' WHEN 7 THEN 'mp3' WHEN 8 THEN 'docx' WHEN 9 THEN 'exr' WHEN 10 THEN 'qoi' ELSE 'unheard' END"
 _ITEM = f"SELECT page_id, {urls.alias('raw_ext')} AS ext FROM (SELECT page_id, {_EXT_OF_ID} AS raw_ext FROM {{pages}}) r"
 _KINDED = f"SELECT i.page_id, i.ext, coalesce(k.kind, 'unknown') AS kind FROM ({_ITEM}) i LEFT JOIN {KINDS} k ON i.ext = k.ext"
@@ -80,7 +78,6 @@ SELECT l_orderkey, l_linenumber, w, h, resize_w, resize_h, least(resize_w, 250)
 """
 _PIX = "SELECT p_partkey, CASE p_size % 11 WHEN 0 THEN 'yuv420p' WHEN 1 THEN 'yuv420p10le' WHEN 2 THEN 'yuv422p' WHEN 3 THEN 'yuv422p12le' WHEN 4 THEN 'yuv444p10le' WHEN 5 THEN 'rgb24' WHEN 6 THEN 'gray' WHEN 7 THEN 'gray10le' WHEN 8 THEN 'rgb48' WHEN 9 THEN 'yuv444p' ELSE 'nv12' END AS f FROM {part}"
 _EIGHT = "f NOT LIKE '%p10%' AND f NOT LIKE '%p12%' AND f NOT LIKE '%p16%'"
-_CONNECT = "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'https://h.example.com/p' WHEN 1 THEN 'https://h.example.com/p#key' WHEN 2 THEN concat('tbr_a_', c_name) WHEN 3 THEN concat('X-Name: ', c_name) ELSE c_name END AS part FROM {customer}"
 _KIND_ORDER = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate([*tables.KINDS, "binary", "unknown"])) + " END"
 
 SAME: dict[str, str] = {
@@ -89,15 +86,9 @@ SAME: dict[str, str] = {
     "url_canonicalize_twice": f"SELECT page_id, {urls.canonical('c')} AS again, c AS once FROM (SELECT page_id, {urls.canonical(U)} AS c FROM {{pages}}) x",
     "url_origin": f"SELECT page_id, {urls.origin(U)} AS origin FROM {{pages}}",
     "url_extension": f"SELECT page_id, {X} AS raw_ext, {urls.alias(X)} AS ext FROM {{pages}}",
-    "url_scheme_guard": f"SELECT page_id, {urls.guard_error('u', False)} AS error, {urls.promoted('u')} AS promoted FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'file:///a' WHEN 1 THEN '/tmp/a.png' WHEN 2 THEN 'http://10.1.2.3/x' WHEN 3 THEN 'ftp://h/x' ELSE url END AS u FROM {{pages}}) x",
     "url_private_host": f"SELECT s_suppkey, h, {urls.private_host('h')} AS private FROM (SELECT s_suppkey, concat(CASE s_suppkey % 4 WHEN 0 THEN '10.' WHEN 1 THEN '172.' WHEN 2 THEN '192.' ELSE '127.' END, s_suppkey % 40, '.', s_suppkey % 200, '.1') AS h FROM {{supplier}}) x",
-    "url_safe": f"SELECT page_id, u, {urls.safe_url('u')} AS safe FROM (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'http://169.254.1.1/' WHEN 1 THEN 'http://intranet/' WHEN 2 THEN 'http://224.0.0.1/x' WHEN 3 THEN 'gopher://a.b/' ELSE url END AS u FROM {{pages}}) x",
     "url_host_allowlist": f"SELECT page_id, {urls.host_allowed(urls.host(U), ['example.com', '*.example.net'])} AS allowed FROM {{pages}}",
     "url_query_value": f"SELECT page_id, {urls.query_value(U, 'page')} AS page, {urls.query_value(U, 'ref')} AS ref FROM {{pages}}",
-    "client_ip": f"SELECT event_id, {urls.client_ip('f', 'p')} AS ip FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN concat(' 10.0.0.', event_id % 250, ' , 1.1.1.1') WHEN event_id % 3 = 1 THEN '' END AS f, concat('192.0.2.', user_id % 250) AS p FROM {{events}}) x",
-    "wants_ndjson": f"SELECT event_id, {urls.wants_ndjson('a')} AS ndjson FROM (SELECT event_id, CASE event_type WHEN 'view' THEN 'text/html, Application/X-NDJSON;q=0.5' WHEN 'click' THEN 'application/json' ELSE '*/*' END AS a FROM {{events}}) x",
-    "mask_connect": f"SELECT c_custkey, {urls.masked('c_name')} AS masked, {urls.masked('left(c_name, 5)')} AS short, {urls.masked('left(c_name, 9)')} AS middle FROM {{customer}}",
-    "parse_connect": f"SELECT c_custkey, part, {urls.connect_kind('part')} AS what FROM ({_CONNECT}) x",
     "parse_mem_size": f"SELECT p_partkey, s, {urls.mem_size('s')} AS size FROM (SELECT p_partkey, concat(p_size, CASE p_partkey % 6 WHEN 0 THEN 'mb' WHEN 1 THEN 'GB' WHEN 2 THEN ' kb' WHEN 3 THEN '' WHEN 4 THEN 'xb' ELSE '00' END) AS s FROM {{part}}) x",
     "cache_key_sha256": f"SELECT page_id, {urls.cache_key(chr(39) + 'acct' + chr(39), 'c')} AS cache_key FROM (SELECT page_id, {urls.canonical(U)} AS c FROM {{pages}}) x",
     "meta_page_count": "SELECT page_id, try_cast(regexp_extract(m, 'page-count=\"([0-9]{1,9})\"', 1) AS BIGINT) AS pages FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '<meta/>' ELSE concat('<meta page-count=\"', page_id % 400, '\" image-count=\"1\"/>') END AS m FROM {pages}) x",
@@ -117,12 +108,9 @@ SAME: dict[str, str] = {
     "handlers_available": f"SELECT f.kind, f.ext, f.tier, f.renderer FROM {FORMATS} f LEFT SEMI JOIN (SELECT renderer FROM {BACKENDS} b WHERE available) b ON f.renderer = b.renderer",
     "backend_summary": f"SELECT available, count(*) AS backends, min(renderer) AS first_name, max(renderer) AS last_name FROM {BACKENDS} b GROUP BY available",
     "sniff_html_svg_prefix": "SELECT page_id, REGEX(lower(left(html, 4096)), '^[ \t\r\n]*(<!doctype html|<html)') AS is_html, REGEX(lower(left(html, 4096)), '<svg[ \t\r\n>/]') AS is_svg FROM (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN concat('<?xml version=\"1.0\"?><SVG width=\"1\">', left(html, 50)) ELSE html END AS html FROM {pages}) x",
-    "sniff_precedence": f"SELECT page_id, coalesce(CASE WHEN magic <> '' THEN magic END, CASE WHEN k.kind IS NOT NULL THEN x.ext END, CASE WHEN x.mime LIKE 'image/%' THEN e.ext END, x.ext, 'bin') AS ext FROM (SELECT i.page_id, i.ext, CASE WHEN i.page_id % 4 = 0 THEN 'png' ELSE '' END AS magic, m.mime FROM ({_ITEM}) i JOIN ({_MIME}) m ON i.page_id = m.page_id) x LEFT JOIN {KINDS} k ON x.ext = k.ext LEFT JOIN {EXTENSIONS} e ON x.mime = e.mime",
     "magic_prefix_join": "SELECT p.page_id, m.ext FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '89504E470D0A1A0A00' WHEN 1 THEN 'FFD8FFE000104A46' WHEN 2 THEN '474946383961' ELSE '00000000' END AS head FROM {pages}) p LEFT JOIN " + _values([("png", 0, "89504E470D0A1A0A"), ("jpeg", 0, "FFD8FF"), ("gif", 0, "474946")], "ext, off, magic") + " m ON substring(p.head, cast(m.off * 2 + 1 AS INT), cast(length(m.magic) AS INT)) = m.magic",
     "html_error_filter": "SELECT page_id, mime, mime LIKE 'text/html%' AS refused FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'text/html; charset=utf-8' ELSE 'image/png' END AS mime FROM {pages}) x",
-    "http_status_classify": f"SELECT event_id, http, CASE WHEN http = 304 THEN 'fresh' WHEN http IN (429, 503) THEN 'overloaded' WHEN http IN (401, 403) THEN 'permission denied' WHEN http = 404 THEN 'source not found' WHEN http = 410 THEN 'source gone' WHEN http >= 500 THEN 'server error' WHEN http BETWEEN 200 AND 299 THEN 'processing' ELSE 'failed' END AS status FROM ({_STATUS}) x",
     "result_source": f"SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'cache' WHEN http = 304 THEN 'not_modified' WHEN event_id % 7 = 0 THEN 'placeholder' WHEN http >= 400 THEN 'fallback' WHEN event_id % 2 = 0 THEN 'shortcut' ELSE 'render' END AS result_source, CASE WHEN http = 304 THEN 'not_modified' WHEN event_id % 7 = 0 THEN 'placeholder' WHEN http >= 400 THEN 'fallback' WHEN event_id % 2 = 0 THEN 'shortcut' ELSE 'render' END AS trace_source FROM ({_STATUS}) x",
-    "log_status": f"SELECT event_id, coalesce(CASE WHEN http <> 200 THEN http END, CASE event_id % 4 WHEN 0 THEN 200 WHEN 1 THEN 500 WHEN 2 THEN 503 ELSE 422 END) AS log_code FROM ({_STATUS}) x",
     # batches
     "batch_limit": "SELECT user_id, event_id, r <= 12 AS processed FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM {events}) x",
     "batch_union_overflow": "SELECT conv_id, turn, 'batch_limit' AS status FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM {conversations}) x WHERE r > 3 UNION ALL SELECT conv_id, turn, 'processing' FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM {conversations}) x WHERE r <= 3",
@@ -135,11 +123,8 @@ SAME: dict[str, str] = {
     "cache_upsert": f"SELECT coalesce(n.user_id, o.cache_key) AS cache_key, coalesce(n.at, o.last_accessed_at) AS last_accessed_at, coalesce(o.access_count, 0) + CASE WHEN n.user_id IS NULL THEN 0 ELSE 1 END AS access_count FROM (SELECT * FROM ({_ENTRIES}) q WHERE cache_key % 2 = 0) o FULL OUTER JOIN (SELECT user_id, max({{sec}}) + 60 AS at FROM {{events}} WHERE event_type = 'view' GROUP BY user_id) n ON o.cache_key = n.user_id",
     "cache_touch": f"SELECT cache_key, CASE WHEN cache_key % 3 = 0 THEN {NOW} ELSE last_accessed_at END AS last_accessed_at, access_count + CASE WHEN cache_key % 3 = 0 THEN 1 ELSE 0 END AS access_count FROM ({_ENTRIES}) e",
     "cache_purge_expired": f"SELECT cache_key, expires_at FROM ({_ENTRIES}) e WHERE expires_at > (SELECT cast(floor(avg(expires_at)) AS BIGINT) FROM ({_ENTRIES}) a)",
-    "cache_evict_reference": f"SELECT cache_key, rt FROM (SELECT cache_key, sum(size_bytes) OVER (ORDER BY last_accessed_at, render_cost) AS rt FROM ({_ENTRIES}) e) x WHERE rt <= ({_EXCESS})",
-    "cache_evict_fit": f"SELECT cache_key, size_bytes, rt FROM (SELECT cache_key, size_bytes, sum(size_bytes) OVER (ORDER BY last_accessed_at, render_cost, cache_key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rt FROM ({_ENTRIES}) e) x WHERE rt - size_bytes < ({_EXCESS})",
     "cache_stats": f"SELECT count(*) AS entries, round(sum(size_bytes) / 1048576.0, 2) AS mb, min(last_accessed_at) AS oldest, max(last_accessed_at) AS newest FROM ({_ENTRIES}) e",
     "cache_drop_by_days": f"SELECT cache_key, last_accessed_at FROM ({_ENTRIES}) e WHERE last_accessed_at >= (SELECT max(last_accessed_at) - 2 * 86400 FROM ({_ENTRIES}) m)",
-    "cache_drop_to_limit": f"SELECT cache_key FROM (SELECT cache_key, row_number() OVER (ORDER BY last_accessed_at, cache_key) AS r FROM ({_ENTRIES}) e) x WHERE r <= (SELECT CASE WHEN sum(size_bytes) > 1000000 THEN 0 ELSE count(*) END FROM ({_ENTRIES}) s)",
     "render_cost": "SELECT event_id, cast(floor(least(floor(abs(value) * 100), 1000) / 10) AS INT) AS render_cost FROM {events}",
     "cache_expires_at": f"SELECT event_id, least(coalesce(CASE WHEN event_id % 4 > 0 THEN {NOW} + user_id * 2000 END, {NOW} + 3600), {NOW} + 604800) AS expires_at FROM {{events}}",
     "placeholder_ttl": f"SELECT event_id, CASE event_id % 4 WHEN 0 THEN greatest(3600, user_id % 9000) WHEN 1 THEN 86400 WHEN 2 THEN 900 ELSE user_id % 9000 END AS ttl FROM {{events}}",
@@ -149,10 +134,7 @@ SAME: dict[str, str] = {
     "page_edge_thickness": "SELECT doc_id, greatest(2, least(10, cast(length(bin(n_chars {div} 500 + 1)) AS INT))) AS thickness FROM {documents}",
     "estimated_pages": "SELECT doc_id, greatest(1, n_chars {div} 11750) AS pages FROM {documents}",
     "progressive_budget": "SELECT p_partkey, CASE WHEN p_size = 7 THEN 262144 ELSE greatest(10240, (p_size * 100) * (p_partkey % 900 + 1) {div} 42) END AS bytes FROM {part}",
-    "pow2_downscale": "SELECT p_partkey, m, CASE WHEN m <= 512 THEN 1 WHEN m < 1024 THEN 2 WHEN m < 2048 THEN 4 WHEN m < 4096 THEN 8 WHEN m < 8192 THEN 16 WHEN m < 16384 THEN 32 ELSE 64 END AS scale FROM (SELECT p_partkey, p_size * (p_partkey % 300 + 1) AS m FROM {part}) x",
-    "prescale_divisor": "SELECT p_partkey, greatest(1, least((p_size * 40) {div} 500, (p_partkey % 3000) {div} 400)) AS divisor FROM {part}",
     "cover_scale": f"SELECT l_orderkey, l_linenumber, greatest({_F('250', 'w')}, {_F('200', 'h')}) AS scale FROM ({_FIT}) x",
-    "stream_pick": "SELECT l_orderkey, min(l_linenumber) AS picked FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN n = 1 THEN 1 ELSE 0 END DESC, w * h DESC, l_linenumber) AS r FROM (SELECT l_orderkey, l_linenumber, l_suppkey % 4 AS w, l_partkey % 4 AS h, count(*) OVER (PARTITION BY l_orderkey, l_suppkey % 4, l_partkey % 4) AS n FROM {lineitem}) a) b WHERE r = 1 GROUP BY l_orderkey",
     "probe_channels": "SELECT l_orderkey, sum(CASE WHEN l_returnflag = 'R' THEN l_linenumber ELSE 0 END) AS channels, min(CASE WHEN l_returnflag <> 'R' THEN l_linenumber END) AS video FROM {lineitem} GROUP BY l_orderkey",
     "pix_fmt_bpp": f"SELECT p_partkey, f, CASE WHEN f LIKE 'yuv420%' AND {_EIGHT} THEN 12 WHEN f LIKE 'yuv422%' AND {_EIGHT} THEN 16 WHEN f LIKE 'yuv444%' AND {_EIGHT} THEN 24 WHEN f LIKE 'yuv420p10%' THEN 15 WHEN f LIKE 'yuv422p10%' THEN 20 WHEN f LIKE 'yuv444p10%' THEN 30 WHEN f LIKE 'yuv420p12%' THEN 18 WHEN f LIKE 'yuv422p12%' THEN 24 WHEN f LIKE 'yuv444p12%' THEN 36 WHEN f IN ('rgb24', 'bgr24', 'gbrp', 'gbrp9') THEN 24 WHEN f IN ('rgb48', 'bgr48') THEN 48 WHEN f LIKE 'gray%10%' THEN 10 WHEN f LIKE 'gray%12%' THEN 12 WHEN f LIKE 'gray%16%' THEN 16 WHEN f LIKE 'gray%' THEN 8 ELSE 0 END AS bpp FROM ({_PIX}) x",
     "synchsafe_decode": "SELECT o_orderkey, (o_orderkey % 128) * 2097152 + (o_custkey % 128) * 16384 + (o_orderkey * 7 % 128) * 128 + o_custkey * 3 % 128 AS size FROM {orders}",
@@ -163,12 +145,16 @@ SAME: dict[str, str] = {
     "alpha_composite": "SELECT p_partkey, ((p_size * 5 % 256) * a + (p_partkey % 256) * (255 - a) + 127) {div} 255 AS composed FROM (SELECT p_partkey, p_size, p_partkey * 13 % 256 AS a FROM {part}) x",
     "box_half_pixels": "SELECT p_partkey, (p_size + p_partkey % 256 + p_size * 3 % 256 + p_partkey * 5 % 256 + 2) {div} 4 AS pixel FROM {part}",
     "gamma_lut": "SELECT DISTINCT p_size, cast(floor(power(p_size / 255.0, 1 / 2.2) * 255 + 0.5) AS INT) AS srgb FROM {part}",
-    "vignette_profile": "SELECT p_partkey, cast(floor(p_size * 5 * (1 - 0.25 * ((p_partkey % 125) * (p_partkey % 125) + 100) / 25725.0)) AS INT) AS shade FROM {part}",
     "seek_timestamp": "SELECT o_orderkey, cast(floor((o_orderkey % 600) * 90000 / 1001.0 + 0.5) AS BIGINT) AS ts_units FROM {orders}",
-    "display_rotation": "SELECT p_partkey, cast(floor(degrees(atan2(s, c)) / 90 + 0.5) * 90 + 360 AS INT) % 360 AS degrees FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.0 ELSE -1.0 END AS s, CASE p_partkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 WHEN 2 THEN -1.0 ELSE 0.0 END AS c FROM {part}) x",
     # extension: rollup of request traces
     "trace_rollup_kind_source": f"SELECT http, event_type, count(*) AS items, sum(floor(abs(value) * 100)) AS units FROM ({_STATUS}) x GROUP BY ROLLUP (http, event_type)",
 }
+#: SQL of the eviction queries, whose Spark form is ``operators.cache``.
+EVICTION = {
+    "cache_evict_reference": f"SELECT cache_key, rt FROM (SELECT cache_key, sum(size_bytes) OVER (ORDER BY last_accessed_at, render_cost) AS rt FROM ({_ENTRIES}) e) x WHERE rt <= ({_EXCESS})",
+    "cache_evict_fit": f"SELECT cache_key, size_bytes, rt FROM (SELECT cache_key, size_bytes, sum(size_bytes) OVER (ORDER BY last_accessed_at, render_cost, cache_key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rt FROM ({_ENTRIES}) e) x WHERE rt - size_bytes < ({_EXCESS})",
+    "cache_drop_to_limit": f"SELECT cache_key, most FROM ({_ENTRIES}) e, (VALUES (1000000::BIGINT), (1000000000000000)) l(most) WHERE (SELECT sum(size_bytes) FROM ({_ENTRIES}) s) <= most",
+}
 #: DuckDB spells semi and anti joins shorter.
 _DUCK = {"LEFT ANTI JOIN": "ANTI JOIN", "LEFT SEMI JOIN": "SEMI JOIN"}
 
@@ -178,18 +164,20 @@ def _query(text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from ..operators import state
+    from ..operators import cache, state
+    from . import files, request, rules
 
-    return {k: _query(v) for k, v in SAME.items()} | state.QUERIES
+    return {k: _query(v) for k, v in SAME.items()} | cache.QUERIES | state.QUERIES | rules.QUERIES | request.QUERIES | files.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     from ..operators import state
+    from . import files, request, rules
 
     out = {}
-    for k, v in SAME.items():
+    for k, v in (SAME | EVICTION).items():
         text = text_for("duckdb", v)
         for a, b in _DUCK.items():
             text = text.replace(a, b)
         out[k] = text
-    return out | {k: text_for("duckdb", v) for k, v in state.SQL.items()}
+    return out | {k: text_for("duckdb", v) for k, v in state.SQL.items()} | rules.SQL | request.SQL | files.SQL

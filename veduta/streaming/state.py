@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def suppressed(stream: DataFrame, key: str, ttl: int) -> DataFrame:
+def suppressed(stream: DataFrame, key: str, ttl: int, idle_ms: int = 3_600_000) -> DataFrame:
     """Rows of (key long, at long, event_id long) with ``fetched``, as the batch fold gives; the state is one number per key.
 
-    Rows of a micro-batch are taken in time order within a key; rows that arrive in a later batch than their time are judged then.
+    Rows of a micro-batch are taken in time order within a key; rows that arrive in a later batch than their time are judged then. The state of a key
+    without rows for ``idle_ms`` of processing time goes: it should be well above ``ttl``.
     """
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         until = state.get[0] if state.exists else -(1 << 62)
         rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
         out = []
@@ -23,13 +27,26 @@ def suppressed(stream: DataFrame, key: str, ttl: int) -> DataFrame:
             out.append(at >= until)
             until = at + ttl if at >= until else until
         state.update((int(until),))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({key: [k[0]] * len(rows), "event_id": rows["event_id"].to_numpy(), "fetched": out})
 
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} long, event_id long, fetched boolean", "until long", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(key).applyInPandasWithState(
+        step, f"{key} long, event_id long, fetched boolean", "until long", "append", GroupStateTimeout.ProcessingTimeTimeout
+    )
 
 
-def ndjson(stream: DataFrame, path: str, checkpoint: str):
-    """Each micro-batch appended as JSON lines; results first, then whatever must follow them."""
+def written(batch: DataFrame, batch_id: int, path: str, others: Sequence[str] = ()) -> None:
+    """One micro-batch as JSON lines below ``path``, in a folder of its own: a replay writes the same folder again. Then the same rows for each other log."""
+    batch = batch.persist()
+    try:
+        for to in (path, *others):
+            batch.write.mode("overwrite").json(f"{to}/batch={batch_id}")
+    finally:
+        batch.unpersist()
+
+
+def ndjson(stream: DataFrame, path: str, checkpoint: str, others: Sequence[str] = ()):
+    """Each micro-batch written once as JSON lines: results first, then the logs that must follow them."""
     return stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(
-        lambda batch, _: batch.write.mode("append").json(path)
+        lambda batch, n: written(batch, n, path, others)
     ).start()
