@@ -163,11 +163,11 @@ def _ssn(value: Column, key: str, back: bool) -> Column:
 
 
 def _phone(value: Column, key: str, back: bool) -> Column:
-    """All digits but those of the country's calling code, or of the leading 0, are permuted."""
+    """All digits but those of the country's calling code, or else the first, are permuted."""
     digits = F.regexp_replace(value, "[^0-9]", "")
     one, two = ONE_DIGIT_CODES.split(), TWO_DIGIT_CODES.split()
     size = F.when(F.left(digits, F.lit(1)).isin(one), 1).when(F.left(digits, F.lit(2)).isin(two), 2).otherwise(3)
-    kept = F.when(F.startswith(value, F.lit("+")), size).when(F.startswith(digits, F.lit("0")), 1).otherwise(0)
+    kept = F.when(F.startswith(value, F.lit("+")), size).otherwise(1)
 
     def body(d):
         return let(
