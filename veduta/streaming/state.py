@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def suppressed(stream: DataFrame, key: str, ttl: int, idle_ms: int = 3_600_000) -> DataFrame:
+def suppressed(stream: DataFrame, key: str, ttl: int, idle_ms: int | None = None) -> DataFrame:
     """Rows of (key long, at long, event_id long) with ``fetched``, as the batch fold gives; the state is one number per key.
 
-    Rows of a micro-batch are taken in time order within a key; rows that arrive in a later batch than their time are judged then. The state of a key
-    without rows for ``idle_ms`` of processing time goes: it should be well above ``ttl``.
+    Rows of a micro-batch are taken in time order within a key; rows that arrive in a later batch than their time are judged then. With ``idle_ms``, well above
+    ``ttl``, the state of a key without rows for that much processing time goes; such a stream runs on, so it suits no trigger that ends by itself.
     """
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -27,11 +27,13 @@ def suppressed(stream: DataFrame, key: str, ttl: int, idle_ms: int = 3_600_000)
             out.append(at >= until)
             until = at + ttl if at >= until else until
         state.update((int(until),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({key: [k[0]] * len(rows), "event_id": rows["event_id"].to_numpy(), "fetched": out})
 
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     return stream.groupBy(key).applyInPandasWithState(
-        step, f"{key} long, event_id long, fetched boolean", "until long", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, f"{key} long, event_id long, fetched boolean", "until long", "append", timeout
     )
 
 
