@@ -3,9 +3,10 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from veduta.llm import mixing, pii, quality
+from veduta.llm import jaccard, mixing, pii, quality
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -137,5 +138,29 @@ def test_stages_of_empty_and_odd_tables(spark, tmp_path):
         assert docs.count() == left
 
 
+def test_columns_with_clashing_names_go_through(spark, tmp_path):
+    """Columns named like those that operators add or use inside keep their values through the stages."""
+    spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "no such passage here")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = ["key", "kept", "log_weight", "_label", "n_pii", "_d", "_h", "stays", "t", "root", "k1", "target", "size", "a.b"]
+    rows = [(i, t, "en", "s", 0, *[f"{c}{i}" for c in names]) for i, t in enumerate(["one good text a@b.org", "one good text a@b.org", "$$$ %%%", "another good text"])]
+    docs = before = spark.createDataFrame(rows, DOC + "".join(f", `{c}` string" for c in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == before.columns
+    got = [q.asDict() for q in docs.collect()]
+    assert got and all(q[c] == f"{c}{q['doc_id']}" for q in got for c in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(got)
+
+
+def test_operators_keep_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "one two a@b.org"), (1, "one two a@b.org"), (2, "three")], "doc_id long, text string")
+    df = df.withColumns({c: F.lit("x") for c in ("_d", "_h", "_found", "_label", "stays", "t")})
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    for out, n in ((jaccard.keep_one(df), 2), (pii.pseudonymise(df), 3), (quality.resample(df, labels), 3)):
+        rows = out.collect()
+        assert set(df.columns) <= set(out.columns) and len(rows) == n and all(q[c] == "x" for q in rows for c in ("_d", "_h", "_found", "_label"))
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0

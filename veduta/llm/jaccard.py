@@ -411,12 +411,12 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "t")
     first = scratch.keep(rows.groupBy("root").agg(F.min(order).alias("f")).select("root", F.col("f.doc_id").alias("d"), F.col("f.t").alias("ft")), "first")
     told = rows.join(first, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("ft")))
-    told = told.where("NOT stays OR n > 1").select(F.col("doc_id").alias("_d"), F.col("t").alias("_h"), "stays")
+    told = told.where("NOT stays OR n > 1").select(F.col("doc_id").alias("_veduta_d"), F.col("t").alias("_veduta_h"), "stays")
     told = scratch.keep(told, "told")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_veduta_d")) & (F.xxhash64("text") == F.col("_veduta_h"))
     alone = docs.join(bounded(told.drop("stays")), same, "left_anti")
     again = bounded(told.where("stays").drop("stays"))
-    copies = docs.join(again, same).dropDuplicates(["_d", "_h"]).select(*docs.columns)
+    copies = docs.join(again, same).dropDuplicates(["_veduta_d", "_veduta_h"]).select(*docs.columns)
     return alone.unionByName(copies)
 
 

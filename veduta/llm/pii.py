@@ -350,11 +350,11 @@ def pseudonymise(docs: DataFrame, key: str = KEY, back: bool = False) -> DataFra
         return let(kind_of(x), lambda k: F.struct(F.coalesce(pseudonym(x, k, key, back), x).alias("t"), k.isNotNull().cast("int").alias("k")))
 
     # Texts without a digit or "@" hold no candidate; the others are cut into gaps and candidates in turn.
-    done = docs.withColumn("_found", F.when(text.rlike("[0-9@]"), F.transform(found, replaced)))
-    joined = F.concat_ws("", F.flatten(F.zip_with(gaps, F.col("_found.t"), lambda g, t: F.array(g, F.coalesce(t, F.lit(""))))))
-    n = F.coalesce(F.aggregate(F.col("_found.k"), F.lit(0), lambda a, b: a + b), F.lit(0))
-    changed = F.coalesce(F.size("_found"), F.lit(0)) > 0
-    return done.withColumn("n_pii", n).withColumn("text", F.when(changed, joined).otherwise(text)).drop("_found")
+    done = docs.withColumn("_veduta_found", F.when(text.rlike("[0-9@]"), F.transform(found, replaced)))
+    joined = F.concat_ws("", F.flatten(F.zip_with(gaps, F.col("_veduta_found.t"), lambda g, t: F.array(g, F.coalesce(t, F.lit(""))))))
+    n = F.coalesce(F.aggregate(F.col("_veduta_found.k"), F.lit(0), lambda a, b: a + b), F.lit(0))
+    changed = F.coalesce(F.size("_veduta_found"), F.lit(0)) > 0
+    return done.withColumn("n_pii", n).withColumn("text", F.when(changed, joined).otherwise(text)).drop("_veduta_found")
 
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:

@@ -139,7 +139,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, labelled:
     null doc_id draws the noise of an empty one. Input columns named like the added ones are replaced. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    docs = docs.drop("log_weight", "key", "kept", "_label")
+    docs = docs.drop("log_weight", "key", "kept")
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_label"))
     known = F.broadcast(scratch.keep(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled), "labels"))  # at most ``labelled`` rows
     counts = count_ngrams(docs.select("doc_id", "text").join(known, "doc_id", "left").withColumn("target", F.col("_label") == 1))
