@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
+from veduta.plans.files import QUERIES
 from veduta.sources import containers, exif, media, pixels
 
 JPEG = b"\xff\xd8" + bytes(range(40)) + b"\xff\xd9"
@@ -284,3 +285,19 @@ def test_answers_for_local_files(spark, tmp_path):
     paths = spark.createDataFrame([(f"{tmp_path}/a.bin", None), (f"{tmp_path}/b.bin", None), ("/c", "denied"), ("/d", "broken")], "path string, error string")
     got = {r.url.rsplit("/", 1)[1]: (r.status, r.headers) for r in media.local_answer(spark, paths, found).collect()}
     assert got == {"a.bin": (200, {"content-length": "5", "accept-ranges": "bytes"}), "b.bin": (404, None), "c": (403, None), "d": (500, None)}
+
+
+def test_resize_takes_only_pixels_with_a_weight():
+    for size, to in ((4000, 250), (848, 213), (7, 14), (1, 5), (5, 1), (300, 300)):
+        at, weight = pixels._taps(size, to)
+        step = size / to
+        want = np.maximum(0.0, 1 - np.abs(np.arange(size) + 0.5 - (np.arange(to)[:, None] + 0.5) * step) / max(step, 1.0))
+        got = np.zeros((to, size))
+        np.add.at(got, (np.arange(to)[:, None], at), weight)
+        assert np.allclose(got, want / want.sum(axis=1, keepdims=True)) and at.shape[1] <= 2 * max(step, 1) + 3
+
+
+def test_thumbnails_are_made_in_many_tasks(spark):
+    """One small file of numbers is many pictures."""
+    made = QUERIES["thumbnail_pipeline"](spark, "/root/testdata/sf0.1")
+    assert made.rdd.getNumPartitions() >= 8

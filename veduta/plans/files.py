@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ..sources import media, pixels
 
+#: Pictures that a task makes thumbnails of, about.
+PER_TASK = 64
+
 
 def big(n: Column, size: int) -> Column:
     """A number as ``size`` bytes of hex, the highest first."""
@@ -81,7 +85,9 @@ def thumbnail_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict(out, pa.schema([("s_suppkey", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("shaded", pa.bool_())]))
 
     rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", (F.col("s_suppkey") % 37 * 23 + 20).alias("w"), (F.col("s_suppkey") % 29 * 31 + 20).alias("h"))
-    return rows.mapInArrow(run, "s_suppkey long, width int, height int, shaded boolean")
+    # Dealt by the number of pictures: their numbers fill one small file, hence one task, at any size that matters.
+    parts = min(max(math.ceil(rows.count() / PER_TASK), 1), 4096)
+    return rows.repartition(parts, "s_suppkey").mapInArrow(run, "s_suppkey long, width int, height int, shaded boolean")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"binary_parse_suite": binary_parse_suite, "webp_dims": webp_dims, "thumbnail_pipeline": thumbnail_pipeline}
