@@ -1,6 +1,8 @@
 import html as entities
+import pathlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -99,6 +101,50 @@ def test_vectors_of_one_id_and_of_none(spark):
     assert got == sorted(want, key=repr)
 
 
+def test_cells_are_fitted_in_little_memory():
+    """The driver holds the products of some rows with all centres, never the whole sample's."""
+    sample = np.random.default_rng(4).normal(size=(20_000, 8))
+    tracemalloc.start()
+    embeddings.centroids(sample / np.linalg.norm(sample, axis=1, keepdims=True), 4096, rounds=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+
+
+def test_vectors_are_stored_once_though_all_may_link(spark, monkeypatch):
+    """Random vectors, which no cell keeps apart, are not copied to other groups of cells; links are those of brute force at each width of the products."""
+    monkeypatch.setattr(embeddings, "PER_GROUP", 256)
+    r = np.random.default_rng(5)
+    x = r.normal(size=(3000, 64))
+    x[2000:] = x[:1000] + r.normal(size=(1000, 64)) * 0.33
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = int((u @ u.T >= 0.95).sum()) - len(x)
+    df = spark.createDataFrame([(i, 1, e.tolist()) for i, e in enumerate(x)], "id long, copies long, embedding array<double>")
+    for bound in (512, 8):  # whole blocks, and runs against runs
+        monkeypatch.setattr(embeddings, "PER_BOUND", bound)
+        scratch = common.Scratch(spark, "once")
+        told = embeddings.compare(scratch, df, 0.95)
+        assert told.where("id IS NOT NULL").agg(F.sum("n")).first()[0] == want > 500
+        stored = sum(f.stat().st_size for f in pathlib.Path(scratch.root.replace("file://", "")).rglob("*.parquet"))
+        assert stored < 2 * x.nbytes
+
+
+def test_vectors_of_many_lengths_and_single_precision(spark, monkeypatch):
+    """Lengths with a model, with a single cell since none are left, and with few vectors; single precision gives what double precision of the same numbers gives."""
+    for name, n in (("PER_CELL", 10), ("PER_GROUP", 20), ("BLOCK_VALUES", 100), ("MAX_CELLS", 8)):
+        monkeypatch.setattr(embeddings, name, n)
+    r = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in r.normal(size=d).astype(np.float32)]) for i, d in enumerate([3] * 120 + [4] * 60 + [2] * 40 + [5] * 4)]
+    want = {}
+    for d in (2, 3, 4, 5):
+        ids, x = [i for i, e in rows if len(e) == d], np.array([e for _, e in rows if len(e) == d])
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        want |= dict(zip(ids, ((u @ u.T >= 0.95).sum(1) - 1).tolist(), strict=True))
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+        assert {q.vec_id: q.n_links for q in embeddings.near_duplicates(df).collect()} == want
+
+
 # -- Jaccard
 def brute_classes(texts, k, percent):
     sets = []

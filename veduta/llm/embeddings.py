@@ -1,24 +1,36 @@
-"""Embedding near-duplicates: spherical k-means cells, blocked cosine products, one representative per group."""
+"""Embedding near-duplicates: spherical k-means cells, products of packed blocks, one representative per group."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from .common import Scratch, bounded, components, meet, table, tidied
+from .common import Scratch, components, table, tidied
 
-#: Components of the vectors that a block holds on either side of a product (4,096 vectors of 64; 2 MB).
-BLOCK_VALUES = 4096 * 64
-#: Vectors a cell holds, about, and a group of neighbouring cells that is shipped as one.
-PER_CELL, PER_GROUP = 128, 2048
-#: Bounds of the cell model: cells in all, sampled vectors a cell, sampled components in all.
-MAX_CELLS, SAMPLE, TRAIN_VALUES = 4096, 32, 4_000_000
-_GROUPS = 1 << 20
+#: Components of the vectors that a block holds, about (2,048 vectors of 64).
+BLOCK_VALUES = 2048 * 64
+#: Vectors a cell holds, about, and a group of neighbouring cells that makes a block; most vectors of a cell that share a bound.
+PER_CELL, PER_GROUP, PER_BOUND = 128, 2048, 512
+#: Bounds of the cell model: cells in all, sampled vectors a cell, sampled components in all, rows whose products with all centres are held at once.
+MAX_CELLS, SAMPLE, TRAIN_VALUES, AT_ONCE = 4096, 32, 4_000_000, 2048
+_GROUPS, _SLICES = 1 << 20, 1 << 16
+#: While blocks meet: pairs of blocks that go to Python at once, blocks held unless there is memory for more, bytes of blocks that a task takes from either side.
+_MEETING = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4", "spark.sql.cartesianProductExec.buffer.in.memory.threshold": "16", "spark.sql.files.maxPartitionBytes": str(64 << 20),
+}
+_PACKED = "g long, tb long, id binary, copies binary, cell binary, v binary"
+
+
+def _home(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Each row's cell, by largest cosine; the products are held for ``AT_ONCE`` rows at a time."""
+    return np.concatenate([np.argmax(x[i : i + AT_ONCE] @ centre.T, axis=1) for i in range(0, len(x), AT_ONCE)] or [np.empty(0, int)])
 
 
 def centroids(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -26,7 +38,7 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.
     rng = np.random.default_rng(seed)
     centre = sample[rng.choice(len(sample), size=k, replace=False)].copy()
     for _ in range(rounds):
-        home = np.argmax(sample @ centre.T, axis=1)
+        home = _home(sample, centre)
         order = np.argsort(home, kind="stable")
         cells, first = np.unique(home[order], return_index=True)
         total = np.add.reduceat(sample[order], first, axis=0)
@@ -37,82 +49,124 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.
 
 
 class Cells:
-    """Centres of one vector length, the group of each, and the bound that says which cells a vector must be compared with.
-
-    For unit vectors x in cell a and y in cell b with angle(x, y) <= t: y.a <= y.b, so x.a - x.b <= sin(t) * |a - b|; and the same with x and y
-    changed about. A linked pair meets both bounds, so only vectors of a that may have a link in b are compared with those of b that may have one in a.
-    """
+    """Centres of one vector length (None: a single cell), the group of each, and the blocks that a group's vectors are dealt to."""
 
-    def __init__(self, centre: np.ndarray, group: np.ndarray, least: float):
-        self.centre, self.group = centre, group
-        sin = math.sqrt(1 - least * least) if least > 0 else 1.0
-        self.reach = sin * np.sqrt(np.maximum(0, 2 - 2 * centre @ centre.T)) + 1e-9
+    def __init__(self, centre: np.ndarray | None, group: np.ndarray, blocks: np.ndarray):
+        self.centre, self.group, self.blocks = centre, group, blocks
 
-    def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each row's cell, and whether it may have links in each of the cells."""
-        dots = x @ self.centre.T
-        home = np.argmax(dots, axis=1)
-        return home, dots[np.arange(len(x)), home][:, None] - dots <= self.reach[home]
+    def home(self, x: np.ndarray) -> np.ndarray:
+        return np.zeros(len(x), int) if self.centre is None else _home(x.astype(np.float32), self.centre)
 
 
-def train(sample: np.ndarray, n: int, least: float, cells: int = MAX_CELLS) -> Cells:
-    """A model for ``n`` vectors from a sample of them: about ``PER_CELL`` vectors a cell, at most ``cells`` cells; cells in groups by k-means too."""
+def train(sample: np.ndarray, n: int, cells: int, block: int) -> Cells:
+    """A model for ``n`` vectors from a sample of them: about ``PER_CELL`` vectors a cell, at most ``cells`` cells; neighbouring cells, by k-means too, in groups."""
+    sample = sample.astype(np.float32)
     k = max(1, min(cells, n // PER_CELL, len(sample)))
     centre = centroids(sample, k)
     groups = max(1, min(k, n // PER_GROUP))
-    top = centroids(centre, groups)
-    return Cells(centre, np.argmax(centre @ top.T, axis=1), least)
+    order = np.argsort(_home(centre, centroids(centre, groups)), kind="stable")
+    group = np.empty(k, int)
+    group[order] = np.arange(k) * groups // k
+    share = np.bincount(group[_home(sample, centre)], minlength=groups) / len(sample)
+    return Cells(centre, group, np.maximum(1, np.ceil(share * n / block)).astype(int))
 
 
-def _unit(raw: list) -> np.ndarray:
+def _unit(raw: np.ndarray) -> np.ndarray:
     x = np.array(raw, dtype=np.float64)
     # Scaled first: squares of very large or small components would leave the range of doubles.
     x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _ship(model: dict[int, Cells]):
-    """Rows (id, copies, embedding) to (g, own, id, copies, v): the vector's own group of cells, and later groups where it may have links."""
+def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of each length of lists, and their values as a matrix."""
+    size = np.asarray(column.value_lengths())
+    for dim in np.unique(size):
+        rows = np.flatnonzero(size == dim)
+        yield rows, column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), dim)
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (embedding), all of one length, to their unit vectors as bytes of 32-bit floats: a sample for the cells."""
+    for b in batches:
+        for _, raw in _by_length(b.column("embedding")):
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in _unit(raw).astype(np.float32)], pa.binary())], names=["v"])
+
+
+def _deal(model: dict[int, Cells], kind: type):
+    """Rows (id, copies, embedding) to (g, tb, id, copies, cell, v): the length and group of cells, a block of the group, the vector as it came."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, copies, raw = (b.column(c).to_pylist() for c in ("id", "copies", "embedding"))
-            by_dim: dict[int, list[int]] = {}
-            for i, x in enumerate(raw):
-                by_dim.setdefault(len(x), []).append(i)
-            for dim, rows in by_dim.items():
-                x = _unit([raw[i] for i in rows])
-                cells = model.get(dim)
-                if cells is None:
-                    home, at, to = np.zeros(len(rows), int), np.empty(0, int), np.empty(0, int)
-                else:
-                    cell, near = cells.home(x)
-                    home = cells.group[cell]
-                    far = np.zeros((len(rows), cells.group.max() + 1), bool)
-                    np.logical_or.at(far.T, cells.group, near.T)
-                    far &= np.arange(far.shape[1])[None, :] > home[:, None]
-                    at, to = np.nonzero(far)
-                pick = np.r_[np.arange(len(rows)), at]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(dim * _GROUPS + np.r_[home, to], pa.int64()), pa.array(np.r_[np.ones(len(rows), bool), np.zeros(len(at), bool)]),
-                        pa.array([ids[rows[i]] for i in pick], pa.int64()), pa.array([copies[rows[i]] for i in pick], pa.int64()),
-                        pa.array([x[i].tobytes() for i in pick], pa.binary()),
-                    ],
-                    names=["g", "own", "id", "copies", "v"],
-                )
+            ids, copies = (b.column(c).to_numpy() for c in ("id", "copies"))
+            for rows, raw in _by_length(b.column("embedding")):
+                cells = model.get(raw.shape[1])
+                cell = cells.home(_unit(raw)) if cells else np.zeros(len(rows), int)
+                group = cells.group[cell] if cells else cell
+                mixed = (ids[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                block = (mixed % (cells.blocks[group] if cells else np.ones(len(rows), int)).astype(np.uint64)).astype(np.int64)
+                columns = raw.shape[1] * _GROUPS + group, block, ids[rows], copies[rows], cell
+                vectors = pa.array([x.tobytes() for x in raw.astype(kind)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), vectors], names=["g", "tb", "id", "copies", "cell", "v"])
 
     return run
 
 
-class _Side:
-    """One side of a block pair: ids, copies, unit vectors, their cells and where they may have links."""
+def _pack(model: dict[int, Cells], kind: type):
+    """Task body: the vectors of one (g, tb) as one row, sorted by cell and falling cosine to its centre; as more where they are many more than a block's."""
+
+    def body(rows: pa.Table) -> pa.Table:
+        g = int(rows.column("g")[0].as_py())
+        dim, cells = g // _GROUPS, model.get(g // _GROUPS)
+        ids, copies, cell = (rows.column(c).to_numpy() for c in ("id", "copies", "cell"))
+        raw = np.frombuffer(b"".join(rows.column("v").to_pylist()), kind).reshape(len(ids), dim)
+        dot = np.zeros(len(ids)) if cells is None or cells.centre is None else np.einsum("ij,ij->i", _unit(raw), cells.centre[cell])
+        order = np.lexsort((ids, -dot, cell))
+        out: dict[str, list] = {c: [] for c in ("g", "tb", "id", "copies", "cell", "v")}
+        step = 2 * max(1, BLOCK_VALUES // dim)
+        for n, at in enumerate(range(0, len(order), step)):
+            some = order[at : at + step]
+            facts = g, rows.column("tb")[0].as_py() * _SLICES + n, *(x[some].tobytes() for x in (ids, copies, cell, raw))
+            for name, value in zip(out, facts, strict=True):
+                out[name].append(value)
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        return pa.table({name: pa.array(v, t) for (name, v), t in zip(out.items(), kinds, strict=True)})
+
+    return body
+
+
+class _Block:
+    """One side of a block pair: ids, copies, unit vectors in double and single precision, and runs of one cell, each with its centre and bound.
+
+    For unit vectors x and y with angle(x, y) <= t, and any centre c: angle(y, c) <= angle(x, c) + t. So a vector that links to one of a run has at
+    least the run's bound, the cosine of its farthest vector's angle plus t, as its cosine to the centre. And if x is in cell a, y in cell b:
+    x.a >= x.b, so y.b - y.a <= sin(t) * |a - b|.
+    """
 
-    def __init__(self, rows: pa.Table, cells: Cells | None):
-        self.id, self.copies = (np.array(rows.column(c).to_pylist(), np.int64) for c in ("id", "copies"))
-        self.v = np.frombuffer(b"".join(rows.column("v").to_pylist()), np.float64).reshape(rows.num_rows, -1)
-        self.cell, self.near = cells.home(self.v) if cells else (np.zeros(rows.num_rows, int), np.ones((rows.num_rows, 1), bool))
-        self.cells = np.unique(self.cell)
+    def __init__(self, cells: Cells | None, dim: int, least: float, kind: type, ids: bytes, copies: bytes, cell: bytes, v: bytes):
+        self.id, self.copies, self.cell = (np.frombuffer(x, np.int64) for x in (ids, copies, cell))
+        self.v = _unit(np.frombuffer(v, kind).reshape(len(self.id), dim))
+        self.f = self.v.astype(np.float32)
+        #: What single precision may be off by.
+        self.slack = 1e-6 + 1.2e-7 * dim
+        edges = [0, *(np.flatnonzero(np.diff(self.cell)) + 1), len(self.id)]
+        self.runs = [(i, min(i + PER_BOUND, end)) for start, end in zip(edges, edges[1:], strict=False) for i in range(start, end, PER_BOUND)]
+        self.first = np.array([i for i, _ in self.runs])
+        self.run = np.repeat(np.arange(len(self.runs)), [e - i for i, e in self.runs])
+        self.centre, self.sin = None, math.sqrt(1 - least * least) if 0 < least <= 1 else 1.0
+        if cells and cells.centre is not None:
+            self.centre = cells.centre[self.cell[self.first]]
+            self.dot = np.einsum("ij,ij->i", self.v, cells.centre[self.cell])
+            angle = np.arccos(np.clip(np.minimum.reduceat(self.dot, self.first) - self.slack, -1, 1)) + math.acos(min(max(least, -1), 1))
+            self.bound = np.cos(np.minimum(angle, math.pi)) - self.slack
+
+    def near(self, other: _Block) -> np.ndarray:
+        """Whether each of the rows may have a link in each of the other's runs."""
+        if other.centre is None:
+            return np.ones((len(self.id), len(other.runs)), bool)
+        far = self.sin * np.sqrt(np.maximum(0, 2 - 2 * self.centre @ other.centre.T) + 2 * self.slack) + 3 * self.slack
+        far = (self.dot[:, None] - far[self.run]).astype(np.float32)
+        return self.f @ other.centre.T >= np.maximum(far, other.bound.astype(np.float32))
 
 
 def _roots(linked: np.ndarray, q: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,91 +180,141 @@ def _roots(linked: np.ndarray, q: np.ndarray, t: np.ndarray) -> tuple[np.ndarray
         q, t = q2, t2
 
 
-def _products(model: dict[int, Cells], least: float):
-    """Task body: link counts of both sides, a spanning forest of the links, and the number of pairs compared (id null)."""
-
-    def body(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"id": [], "n": [], "other": []}
-
-        def tell(ids, n, other):
-            out["id"] += list(ids)
-            out["n"] += list(n)
-            out["other"] += list(other)
-
-        if left.num_rows and right.num_rows:
-            cells = model.get(int(left.column("g")[0].as_py()) // _GROUPS)
-            q, t = _Side(left, cells), _Side(right, cells)
-            own = np.array(left.column("own").to_pylist(), bool)
-            compared = 0
-            for a in q.cells:
-                for b in t.cells:
-                    same = a == b
-                    rows = (q.cell == a) & q.near[:, b]
-                    # Inside a group, pairs of two cells come up from both sides: taken from the lower cell's.
-                    rows &= own if same else ~own if a > b else True
-                    cols = (t.cell == b) & t.near[:, a]
-                    i, j = np.flatnonzero(rows), np.flatnonzero(cols)
-                    if not len(i) or not len(j):
-                        continue
-                    compared += len(i) * len(j)
-                    linked = q.v[i] @ t.v[j].T >= least
-                    if same:
-                        linked &= q.id[i][:, None] != t.id[j][None, :]
-                    if not linked.any():
-                        continue
-                    x, y = linked.any(axis=1), linked.any(axis=0)
-                    i, j, linked = i[x], j[y], linked[x][:, y]
-                    tell(q.id[i].tolist(), (linked @ t.copies[j]).tolist(), [None] * len(i))
-                    if not same:
-                        tell(t.id[j].tolist(), (q.copies[i] @ linked).tolist(), [None] * len(j))
-                    for ids, roots in zip((q.id[i], t.id[j]), _roots(linked, q.id[i], t.id[j]), strict=True):
-                        moved = ids != roots
-                        tell(ids[moved].tolist(), [0] * int(moved.sum()), roots[moved].tolist())
-            tell([None], [compared], [None])
-        return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
+def _links(q: _Block, t: _Block, same: bool, least: float, tell) -> int:
+    """Tells the links of two blocks, or inside one: counts of both sides and a spanning forest. The number of pairs compared.
 
-    return body
+    Products in single precision find what may link; those are told by products in double precision.
+    """
+    low, compared, near, back = least - q.slack, 0, t.near(q), q.near(t)
+    # A row of a run that nothing in the other run may link to is not near it.
+    near &= np.logical_or.reduceat(back, q.first, axis=0).T[t.run]
+    # Small runs are taken from one side only: their products are cheaper whole.
+    parts = [(s, e, k) for k, (s, e) in enumerate(t.runs)] if len(t.id) >= PER_BOUND // 2 * len(t.runs) else [(0, len(t.id), None)]
+    for k, (s, e) in enumerate(q.runs):
+        some = near[:, k].copy()
+        if same:
+            some[:s] = False  # met from the earlier run
+        for start, end, run in parts:
+            i = np.arange(s, e) if run is None else s + np.flatnonzero(back[s:e, run])
+            j = start + np.flatnonzero(some[start:end])
+            if not len(i) or not len(j):
+                continue
+            compared += len(i) * len(j)
+            product = q.f[i] @ (t.f if len(j) == len(t.f) else t.f[j]).T
+            if product.max() < low:
+                continue
+            x, y = ((product >= low).any(axis=a) for a in (1, 0))
+            i, j = i[x], j[y]
+            linked = q.v[i] @ t.v[j].T >= least
+            if same:
+                linked &= i[:, None] != j[None, :]
+            if not linked.any():
+                continue
+            x, y = linked.any(axis=1), linked.any(axis=0)
+            i, j, linked = i[x], j[y], linked[x][:, y]
+            tell(q.id[i].tolist(), (linked @ t.copies[j]).tolist(), [None] * len(i))
+            # Inside a run every pair is met in both orders.
+            there = j >= e if same else np.ones(len(j), bool)
+            tell(t.id[j[there]].tolist(), (q.copies[i] @ linked[:, there]).tolist(), [None] * int(there.sum()))
+            for ids, roots in zip((q.id[i], t.id[j]), _roots(linked, q.id[i], t.id[j]), strict=True):
+                moved = ids != roots
+                tell(ids[moved].tolist(), [0] * int(moved.sum()), roots[moved].tolist())
+    return compared
+
+
+def _products(model: dict[int, Cells], least: float, kind: type):
+    """Pairs of packed blocks to link counts of both sides, a spanning forest of the links, and the number of pairs compared (id null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}
+
+        def block(side: int, row: tuple) -> _Block:
+            # A block meets many in turn.
+            if side not in held or held[side][0] != row[:2]:
+                dim = row[0] // _GROUPS
+                held[side] = row[:2], _Block(model.get(dim), dim, least, kind, *row[2:])
+            return held[side][1]
+
+        for b in batches:
+            out: dict[str, list] = {"id": [], "n": [], "other": []}
+
+            def tell(ids, n, other, out=out):
+                out["id"] += ids
+                out["n"] += n
+                out["other"] += other
+
+            for n in range(b.num_rows):
+                row = tuple(c[n].as_py() for c in b.columns)
+                q, t = block(0, row[:6]), block(1, row[6:])
+                tell([None], [_links(q, t, row[:2] == row[6:8], least, tell)], [None])
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
+
+    return run
 
 
 def models(distinct: DataFrame, least: float) -> dict[int, Cells]:
-    """A cell model for each length of vectors (id, embedding) with two cells or more, the commonest first, while ``MAX_CELLS`` lasts.
+    """A cell model for each length of vectors (id, embedding) with two cells' worth or more, the commonest first; a single cell once ``MAX_CELLS`` are used up.
 
-    Fitted on a sample by id hash: ``SAMPLE`` vectors a cell, at most ``TRAIN_VALUES`` components.
+    Fitted on a sample by id hash: about ``SAMPLE`` vectors a cell, about ``TRAIN_VALUES`` components.
     """
     out: dict[int, Cells] = {}
     left = MAX_CELLS
     lengths = distinct.groupBy(F.size("embedding").alias("dim")).count().where(F.col("count") >= 2 * PER_CELL)
     for dim, n in lengths.orderBy(F.desc("count"), "dim").limit(MAX_CELLS).collect():
-        k = min(left, n // PER_CELL)
+        k, block = min(left, n // PER_CELL), max(1, BLOCK_VALUES // dim)
         if k < 2:
-            break
+            out[dim] = Cells(None, np.zeros(1, int), np.array([math.ceil(n / block)]))
+            continue
         size = max(2, min(k * SAMPLE, TRAIN_VALUES // dim))
-        some = distinct.where(F.size("embedding") == dim).orderBy(F.xxhash64("id"), "id").limit(size)
-        out[dim] = train(_unit([r[0] for r in some.select("embedding").collect()]), n, least, k)
+        # Every vector where the share is 1.
+        some = distinct.where((F.size("embedding") == dim) & (F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, size / n))))
+        sample = [r[0] for r in some.select("embedding").mapInArrow(tidied(_units), "v binary").collect()]
+        if len(sample) < 2:
+            out[dim] = Cells(None, np.zeros(1, int), np.array([math.ceil(n / block)]))
+            continue
+        out[dim] = train(np.frombuffer(b"".join(sample), np.float32).reshape(len(sample), dim), n, k, block)
         left -= k
     return out
 
 
+@contextmanager
+def _settings(spark: SparkSession, conf: dict[str, str]):
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def compare(scratch: Scratch, distinct: DataFrame, least: float) -> DataFrame:
     """Links of ``distinct`` (id, copies, embedding): rows (id, n links, other null), (id, 0, other: an id linked to it), (null, pairs compared, null)."""
     model = models(distinct, least)
-    dealt = scratch.keep(distinct.mapInArrow(tidied(_ship(model)), "g long, own boolean, id long, copies long, v binary"), "cells")
-    load = F.octet_length("v") / 8.0
-    size = dealt.where("own").groupBy("g").agg(F.ceil(F.sum(load) / BLOCK_VALUES).cast("long").alias("nt"))
-    sized = dealt.join(bounded(scratch.keep(size, "sizes")), "g")
-    targets = sized.where("own").select("g", F.pmod(F.xxhash64("id"), F.col("nt")).alias("tb"), "id", "copies", "v")
-    queries = sized.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nt") - 1)).alias("tb"), "own", "id", "copies", "v")
-    met = meet(scratch, queries, targets, _products(model, least), "id long, n long, other long", BLOCK_VALUES, load)
-    return scratch.keep(met, "found")
+    kind = np.float32 if isinstance(distinct.schema["embedding"].dataType.elementType, FloatType) else np.float64
+    dealt = distinct.select("id", "copies", "embedding").mapInArrow(tidied(_deal(model, kind)), "g long, tb long, id long, copies long, cell long, v binary")
+    # Files of some MB, so that blocks are read by many tasks.
+    size = distinct.agg(F.sum(F.size("embedding").cast("long"))).first()[0] or 0
+    parts = max(8, min(math.ceil(size / (16 * BLOCK_VALUES)), 4096))
+    packed = scratch.keep(dealt.repartition(parts, "g", "tb").groupBy("g", "tb").applyInArrow(_pack(model, kind), _PACKED), "packed")
+    other = packed.toDF(*(f"{c}2" for c in packed.columns))
+    length = lambda c: F.floor(F.col(c) / _GROUPS)
+    # Every pair of blocks of one length of vectors, read from the stored table: nothing is shuffled, and no block is stored twice.
+    later = (F.col("g") < F.col("g2")) | ((F.col("g") == F.col("g2")) & (F.col("tb") <= F.col("tb2")))
+    met = packed.join(other, (F.abs(length("g") - length("g2")) < 1) & later)
+    with _settings(scratch.spark, _MEETING):
+        return scratch.keep(met.mapInArrow(tidied(_products(model, least, kind)), "id long, n long, other long"), "found")
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """Per row of ``vectors`` (vec_id long, embedding array<float or double>): n_links, component_id, kept.
 
     Vectors link if their cosine, in double precision, is at least ``least``. All rows are compared: equal vectors are one
-    with a number of copies. A bounded sample trains the cells (``models``); vectors of two cells are compared unless geometry rules a link out
-    (``Cells``), so none is missed. Cells travel in groups of neighbours, cut in blocks; a task takes the products of two blocks, cell by cell: no
-    cell, however large, is one task. Tasks return counts and spanning edges, never pairs. kept marks the smallest vec_id of each group.
+    with a number of copies. A bounded sample trains the cells (``models``); vectors are compared unless geometry rules a link out
+    (``_Block``), so none is missed. Groups of neighbouring cells are packed in blocks, one row each; all pairs of blocks meet, read from
+    the stored table without a shuffle: no cell, however large, is one task. Tasks return counts and spanning edges, never pairs. kept marks the
+    smallest vec_id of each group.
 
     Null, empty and zero vectors and such with null or non-finite components link with nothing. Vectors of different
     lengths do not link. Every row is a vector of its own: rows of one vec_id are linked by their vectors only. component_id is the smallest vec_id among
@@ -219,7 +323,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embeddings")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    # Single precision is kept as it came (half the bytes); cosines are taken in double precision of either.
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     usable = F.coalesce(~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("usable", usable).withColumn("k1", F.xxhash64("embedding")).withColumn("k2", F.xxhash64(F.lit("veduta"), "embedding"))
