@@ -23,9 +23,11 @@ MAX_CELLS, SAMPLE, TRAIN_VALUES, AT_ONCE = 4096, 32, 4_000_000, 2048
 _GROUPS, _SLICES = 1 << 20, 1 << 16
 #: While blocks meet: pairs of blocks that go to Python at once, blocks held unless there is memory for more, bytes of blocks that a task takes from either side.
 _MEETING = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "4", "spark.sql.cartesianProductExec.buffer.in.memory.threshold": "16", "spark.sql.files.maxPartitionBytes": str(64 << 20),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4", "spark.sql.cartesianProductExec.buffer.in.memory.threshold": "16", "spark.sql.files.maxPartitionBytes": str(32 << 20),
 }
-_PACKED = "g long, tb long, id binary, copies binary, cell binary, v binary"
+#: Blocks of the other side that a worker keeps ready.
+_READY = 64
+_PACKED = "g long, tb long, id binary, copies binary, cell binary, dot binary, v binary"
 
 
 def _home(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
@@ -122,31 +124,32 @@ def _pack(model: dict[int, Cells], kind: type):
         raw = np.frombuffer(b"".join(rows.column("v").to_pylist()), kind).reshape(len(ids), dim)
         dot = np.zeros(len(ids)) if cells is None or cells.centre is None else np.einsum("ij,ij->i", _unit(raw), cells.centre[cell])
         order = np.lexsort((ids, -dot, cell))
-        out: dict[str, list] = {c: [] for c in ("g", "tb", "id", "copies", "cell", "v")}
+        out: dict[str, list] = {c: [] for c in ("g", "tb", "id", "copies", "cell", "dot", "v")}
         step = 2 * max(1, BLOCK_VALUES // dim)
         for n, at in enumerate(range(0, len(order), step)):
             some = order[at : at + step]
-            facts = g, rows.column("tb")[0].as_py() * _SLICES + n, *(x[some].tobytes() for x in (ids, copies, cell, raw))
+            facts = g, rows.column("tb")[0].as_py() * _SLICES + n, *(x[some].tobytes() for x in (ids, copies, cell, dot, raw))
             for name, value in zip(out, facts, strict=True):
                 out[name].append(value)
-        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
         return pa.table({name: pa.array(v, t) for (name, v), t in zip(out.items(), kinds, strict=True)})
 
     return body
 
 
 class _Block:
-    """One side of a block pair: ids, copies, unit vectors in double and single precision, and runs of one cell, each with its centre and bound.
+    """One side of a block pair: ids, copies, vectors as they came, unit vectors in single precision, and runs of one cell, each with its centre and bound.
 
     For unit vectors x and y with angle(x, y) <= t, and any centre c: angle(y, c) <= angle(x, c) + t. So a vector that links to one of a run has at
     least the run's bound, the cosine of its farthest vector's angle plus t, as its cosine to the centre. And if x is in cell a, y in cell b:
     x.a >= x.b, so y.b - y.a <= sin(t) * |a - b|.
     """
 
-    def __init__(self, cells: Cells | None, dim: int, least: float, kind: type, ids: bytes, copies: bytes, cell: bytes, v: bytes):
+    def __init__(self, cells: Cells | None, dim: int, least: float, kind: type, ids: bytes, copies: bytes, cell: bytes, dot: bytes, v: bytes):
         self.id, self.copies, self.cell = (np.frombuffer(x, np.int64) for x in (ids, copies, cell))
-        self.v = _unit(np.frombuffer(v, kind).reshape(len(self.id), dim))
-        self.f = self.v.astype(np.float32)
+        self.dot, self.raw = np.frombuffer(dot, np.float64), np.frombuffer(v, kind).reshape(len(self.id), dim)
+        self.f = (self.raw / np.abs(self.raw).max(axis=1, keepdims=True)).astype(np.float32)
+        self.f /= np.sqrt(np.einsum("ij,ij->i", self.f, self.f))[:, None]
         #: What single precision may be off by.
         self.slack = 1e-6 + 1.2e-7 * dim
         edges = [0, *(np.flatnonzero(np.diff(self.cell)) + 1), len(self.id)]
@@ -156,7 +159,6 @@ class _Block:
         self.centre, self.sin = None, math.sqrt(1 - least * least) if 0 < least <= 1 else 1.0
         if cells and cells.centre is not None:
             self.centre = cells.centre[self.cell[self.first]]
-            self.dot = np.einsum("ij,ij->i", self.v, cells.centre[self.cell])
             angle = np.arccos(np.clip(np.minimum.reduceat(self.dot, self.first) - self.slack, -1, 1)) + math.acos(min(max(least, -1), 1))
             self.bound = np.cos(np.minimum(angle, math.pi)) - self.slack
 
@@ -205,7 +207,7 @@ def _links(q: _Block, t: _Block, same: bool, least: float, tell) -> int:
                 continue
             x, y = ((product >= low).any(axis=a) for a in (1, 0))
             i, j = i[x], j[y]
-            linked = q.v[i] @ t.v[j].T >= least
+            linked = _unit(q.raw[i]) @ _unit(t.raw[j]).T >= least
             if same:
                 linked &= i[:, None] != j[None, :]
             if not linked.any():
@@ -226,14 +228,17 @@ def _products(model: dict[int, Cells], least: float, kind: type):
     """Pairs of packed blocks to link counts of both sides, a spanning forest of the links, and the number of pairs compared (id null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple] = {}
-
-        def block(side: int, row: tuple) -> _Block:
-            # A block meets many in turn.
-            if side not in held or held[side][0] != row[:2]:
-                dim = row[0] // _GROUPS
-                held[side] = row[:2], _Block(model.get(dim), dim, least, kind, *row[2:])
-            return held[side][1]
+        ready: list[dict[tuple, _Block]] = [{}, {}]
+
+        def block(side: int, row: list) -> _Block:
+            # A block meets all those that a task has of the other side in turn.
+            held, key = ready[side], (row[0].as_py(), row[1].as_py())
+            if key not in held:
+                if len(held) >= (_READY if side else 1):
+                    held.pop(next(iter(held)))
+                dim = key[0] // _GROUPS
+                held[key] = _Block(model.get(dim), dim, least, kind, *(x.as_py() for x in row[2:]))
+            return held[key]
 
         for b in batches:
             out: dict[str, list] = {"id": [], "n": [], "other": []}
@@ -244,9 +249,11 @@ def _products(model: dict[int, Cells], least: float, kind: type):
                 out["other"] += other
 
             for n in range(b.num_rows):
-                row = tuple(c[n].as_py() for c in b.columns)
-                q, t = block(0, row[:6]), block(1, row[6:])
-                tell([None], [_links(q, t, row[:2] == row[6:8], least, tell)], [None])
+                row = [c[n] for c in b.columns]
+                half = len(row) // 2
+                q, t = block(0, row[:half]), block(1, row[half:])
+                same = row[:2] == row[half : half + 2]
+                tell([None], [_links(q, t, same, least, tell)], [None])
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
     return run
